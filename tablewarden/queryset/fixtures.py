@@ -85,7 +85,7 @@ FIXTURES = {
     "column_sightings": """
         SELECT DISTINCT event_type AS table_name, date_trunc('day', ts) AS snapshot_at,
                'c' || CAST(user_id % 12 AS STRING) AS name,
-               CASE WHEN day(ts) % 5 = user_id % 5 THEN 'double' ELSE 'bigint' END AS type
+               CASE WHEN day(ts) % 5 = (user_id % 12) % 5 THEN 'double' ELSE 'bigint' END AS type
         FROM {events}""",
 }
 
