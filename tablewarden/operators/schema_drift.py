@@ -71,5 +71,5 @@ def summary(diffs: DataFrame) -> DataFrame:
                     F.when(F.col("change_type") == "type_changed",
                            F.concat(F.lit(": "), "old_value", F.lit(" → "), "new_value")).otherwise(""))
     grouped = diffs.groupBy("table_name", "detected_at").agg(
-        F.count(F.lit(1)).alias("changes"), F.array_sort(F.collect_list(line)).alias("lines"))
-    return grouped.select("table_name", "detected_at", "changes", F.array_join("lines", "\n").alias("summary"))
+        F.count(F.lit(1)).alias("changes"), F.array_sort(F.collect_list(F.struct("column_name", line.alias("line")))).alias("lines"))
+    return grouped.select("table_name", "detected_at", "changes", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("summary"))

@@ -1,6 +1,6 @@
 """The registered queries, one module per area of the inventory."""
 
 from tablewarden.queryset.registry import ORACLES, QUERIES
-from tablewarden.queryset import checks, freshness, scans, shape, volume  # noqa: F401
+from tablewarden.queryset import checks, freshness, promises, scans, shape, volume  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -54,6 +54,10 @@ FIXTURES = {
         SELECT event_id AS id, event_type AS table_name, 'chk_' || CAST(user_id % 5 AS STRING) AS check_name,
                value >= 10 AS passed, value AS metric_value, ts AS executed_at
         FROM {events}""",
+    "contract_history": """
+        SELECT event_id AS id, 'contract_' || CAST(user_id % 6 AS STRING) AS contract_id, '1.' || CAST(user_id % 3 AS STRING) AS contract_version,
+               event_type AS table_name, value >= 20 AS passed, 5 AS total_rules, CASE WHEN value >= 20 THEN 5 ELSE 4 END AS passed_rules, ts AS validated_at
+        FROM {events}""",
     "freshness_history": """
         SELECT event_id AS id, 'svc_' || CAST(user_id % 40 AS STRING) AS table_name, value * 60 AS lag_seconds,
                CASE WHEN value * 60 > 7200 THEN 'fail' WHEN value * 60 > 3600 THEN 'warn' ELSE 'ok' END AS status,
@@ -81,7 +85,8 @@ FIXTURES = {
                CASE WHEN day(ts) = 17 THEN value * 5 ELSE value END AS value
         FROM {events}""",
     "arrivals": """
-        SELECT event_id, ts FROM {events} WHERE day(ts) NOT IN (5, 12, 19) AND hour(ts) < 3""",
+        SELECT event_id, ts FROM {events}
+        WHERE (day(ts) NOT IN (5, 7, 12, 19) AND hour(ts) < 3) OR (day(ts) = 7 AND hour(ts) = 4)""",
     "column_sightings": """
         SELECT DISTINCT event_type AS table_name, date_trunc('day', ts) AS snapshot_at,
                'c' || CAST(user_id % 12 AS STRING) AS name,

@@ -90,14 +90,14 @@ def profile_sql(t, distinct=True):
     return " UNION ALL ".join(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count,
         (count(*) - count({c})) / count(*) AS null_pct, {'count(DISTINCT ' + c + ') AS distinct_count,' if distinct else ''}
         CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
-        {f'round(avg({c}), 6)' if numeric else 'CAST(NULL AS DOUBLE)'} AS mean_value,
+        {f'round(avg({c}), 7)' if numeric else 'CAST(NULL AS DOUBLE)'} AS mean_value,
         TIMESTAMP '{EVENTS_AS_OF}' AS profiled_at FROM {t}""" for c, numeric in PROFILED[t].items())
 
 
 def profiled(spark, sf, fn):
     tables = {"orders": table(spark, sf, "orders"), "lineitem": table(spark, sf, "lineitem"), "dirty": fixture(spark, sf, "dirty")}
     out = reduce(DataFrame.unionByName, [fn(df, t, EVENTS_AS_OF) for t, df in tables.items()])
-    return out.withColumn("mean_value", F.round("mean_value", 6))
+    return out.withColumn("mean_value", F.round("mean_value", 7))
 
 
 @query("profile_columns", with_("dirty") + " UNION ALL ".join(profile_sql(t) for t in PROFILED))
@@ -142,7 +142,7 @@ def dist_categorical(spark, sf):
 
 def stats_sql(t, c, by=""):
     return f"""SELECT {by + ',' if by else ''} '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, (count(*) - count({c})) / count(*) AS null_pct,
-        coalesce(min({c}), 0) AS min, coalesce(max({c}), 0) AS max, round(coalesce(avg({c}), 0), 6) AS mean FROM {t} {'GROUP BY ' + by if by else ''}"""
+        coalesce(min({c}), 0) AS min, coalesce(max({c}), 0) AS max, round(coalesce(avg({c}), 0), 7) AS mean FROM {t} {'GROUP BY ' + by if by else ''}"""
 
 
 NUMERIC = {"lineitem": ["l_quantity", "l_extendedprice", "l_discount"], "dirty": ["value"]}
@@ -155,7 +155,7 @@ def per_table(spark, sf, fn):
 
 @query("dist_numeric_stats", with_("dirty") + " UNION ALL ".join(stats_sql(t, c) for t, cs in NUMERIC.items() for c in cs))
 def dist_numeric_stats(spark, sf):
-    return per_table(spark, sf, D.numeric_stats).withColumn("mean", F.round("mean", 6))
+    return per_table(spark, sf, D.numeric_stats).withColumn("mean", F.round("mean", 7))
 
 
 def rank_sql(t, c):
