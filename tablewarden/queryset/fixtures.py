@@ -33,7 +33,9 @@ FIXTURES = {
         FROM (SELECT event_type AS table_name, date_trunc('day', ts) AS recorded_at, count(*) AS n
               FROM {events} GROUP BY event_type, date_trunc('day', ts)) d""",
     "alert_log": """
-        SELECT event_id AS id, 'svc_' || CAST(user_id % 10 AS STRING) AS table_name, event_type AS alert_type,
+        SELECT event_id AS id, 'svc_' || CAST(user_id % 10 AS STRING) AS table_name,
+               CASE event_type WHEN 'click' THEN 'freshness' WHEN 'view' THEN 'schema' WHEN 'error' THEN 'quality'
+                    WHEN 'purchase' THEN 'volume' ELSE 'contract' END AS alert_type,
                CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'fail' WHEN event_id % 3 = 1 THEN 'warn' ELSE 'info' END AS severity,
                CASE WHEN event_id % 2 = 0 THEN 'slack' ELSE 'email' END AS channel,
                'user ' || CAST(user_id AS STRING) AS message,
@@ -50,6 +52,9 @@ FIXTURES = {
         SELECT user_id AS id, 'svc_' || CAST(user_id % 10 AS STRING) AS table_name,
                max(ts) + INTERVAL 2 HOUR AS suppressed_until, min(ts) AS created_at, 'reload' AS reason
         FROM {events} WHERE event_type = 'error' GROUP BY user_id""",
+    "lineage_edges": """
+        SELECT DISTINCT 'svc_' || CAST(user_id % 10 AS STRING) AS table_name, 'report_' || CAST(user_id % 37 AS STRING) AS downstream
+        FROM {events} WHERE event_type = 'view'""",
     "check_history": """
         SELECT event_id AS id, event_type AS table_name, 'chk_' || CAST(user_id % 5 AS STRING) AS check_name,
                value >= 10 AS passed, value AS metric_value, ts AS executed_at
