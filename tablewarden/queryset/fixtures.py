@@ -76,7 +76,7 @@ FIXTURES = {
         FROM {orders}""",
     "metering": """
         SELECT l_suppkey AS userid, CAST(l_quantity AS BIGINT) AS rows_scanned,
-               CAST(l_extendedprice * 100 AS BIGINT) AS bytes_scanned, l_shipdate AS start_time
+               CAST(round(l_extendedprice * 100) AS BIGINT) AS bytes_scanned, l_shipdate AS start_time
         FROM {lineitem}""",
     "dist_prev": """
         SELECT event_id, event_type, value FROM {events} WHERE ts < TIMESTAMP '2024-01-16 00:00:00'""",
