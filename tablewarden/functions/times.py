@@ -77,11 +77,13 @@ def hour_start(ts: Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
+OFFSET_PATTERN = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
 def parse_iso(text: Column) -> Column:
-    """ISO instant with optional ``Z`` or offset, as UTC wall-clock; NULL when unreadable."""
-    return F.to_utc_timestamp(
-        text.try_cast("timestamp"), F.current_timezone()
-    ).cast("timestamp_ntz")
+    """ISO instant as UTC wall-clock; without ``Z`` or offset it is UTC already. NULL if unreadable."""
+    zoned = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")
+    return F.when(text.rlike(OFFSET_PATTERN), zoned).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def humanize_lag(seconds: Column) -> Column:

@@ -83,7 +83,8 @@ def slots(spark: SparkSession, cron: str, first: datetime | str, as_of: datetime
 def _minutes(rows: DataFrame, ts: str, first: datetime, as_of: datetime) -> DataFrame:
     """Row count and last timestamp per minute; the time bounds reach the scan."""
     seen = rows.filter((F.col(ts) > instant(first)) & (F.col(ts) <= instant(as_of)))
-    minute = F.ceil(micros(F.col(ts)) / 60_000_000).cast("bigint")
+    at = micros(F.col(ts))
+    minute = ((at + F.pmod(-at, F.lit(60_000_000))) / 60_000_000).cast("bigint")
     return seen.groupBy(minute.alias("m")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col(ts)).alias("last_ts"))
 
 

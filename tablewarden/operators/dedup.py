@@ -69,11 +69,11 @@ def replay(alerts: DataFrame, window_minutes: int = MIN_WINDOW, time_col: str =
     at = micros(F.col(time_col))
     # Alerts of a pair at the same instant: the first can be sent, the others never are.
     moments = alerts.groupBy(*PAIR, at.alias("at")).agg(F.min(id_col).alias("id")).withColumn(
-        "chunk", F.floor(F.col("at") / width))
+        "chunk", F.col("at") - F.pmod("at", F.lit(width)))
 
     def steps(pdf: pd.DataFrame) -> pd.DataFrame:
         table, kind, chunk = pdf["table_name"].iat[0], pdf["alert_type"].iat[0], int(pdf["chunk"].iat[0])
-        found = chunk_steps(np.sort(pdf["at"].to_numpy()), chunk * width, window)
+        found = chunk_steps(np.sort(pdf["at"].to_numpy()), chunk, window)
         return pd.DataFrame([(table, kind, chunk, u, e) for u, e in found],
                             columns=["table_name", "alert_type", "chunk", "until", "last"])
 

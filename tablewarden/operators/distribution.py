@@ -72,7 +72,7 @@ def wanted_rank(rows: int, share: float) -> int:
 def percentiles(df: DataFrame, columns: Sequence[str], final_rows: int = FINAL_ROWS) -> DataFrame:
     """Exact values at rank max(1, floor(n * p)) of the non-null values, one row per column."""
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    wanted = [Wanted(f"{c}.{p}", F.col(c).cast("double"), wanted_rank(counts[i], share), counts[i])
+    wanted = [Wanted(f"{c}.{p}", c, wanted_rank(counts[i], share), counts[i])
               for i, c in enumerate(columns) for p, share in PERCENTILES.items()]
     found = values_at_ranks(df, wanted, final_rows)
     rows = [(c, *[found[f"{c}.{p}"] for p in PERCENTILES]) for c in columns]

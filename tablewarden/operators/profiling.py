@@ -57,7 +57,7 @@ def profile(df: DataFrame, table: str, as_of: datetime | str) -> DataFrame:
         "max_value", "mean_value", "profiled_at")
 
 
-def profile_approx(df: DataFrame, table: str, as_of: datetime | str, rsd: float = 0.02) -> DataFrame:
+def profile_approx(df: DataFrame, table: str, as_of: datetime | str, rsd: float = 0.05) -> DataFrame:
     """The same with approximate distinct counts, all in one scan without a wide shuffle."""
     return _fused(df, table, as_of, True, rsd)
 

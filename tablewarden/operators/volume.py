@@ -98,12 +98,14 @@ def detect_backfill(watch: BackfillWatch, as_of: datetime | str, window_days: in
     """
     ts = F.col(watch.timestamp_column)
     cutoff = before(as_of, window_days * DAY)
+    times = watch.rows.select(micros(ts).alias("at"))
     facts = watch.rows.agg(F.count(ts).alias("n"), F.max(micros(ts)).alias("newest"),
                            F.count_if(ts >= cutoff).alias("recent")).first()
     n, size = facts["n"], min(facts["n"], sample_rows)
-    ranked = [Wanted("oldest", micros(ts), n - size + 1, n)]
-    oldest = values_at_ranks(watch.rows, ranked)["oldest"]
-    row = (watch.table, size, size - min(facts["recent"], size), oldest, facts["newest"])
+    # Microseconds of any date until the year 2255 are exact in a double.
+    oldest = values_at_ranks(times, [Wanted("oldest", "at", n - size + 1, n)])["oldest"]
+    row = (watch.table, size, size - min(facts["recent"], size),
+           None if oldest is None else int(oldest), facts["newest"])
     out = small_frame(watch.rows.sparkSession, [row],
                       "table_name string, sample_size bigint, old_rows bigint, o bigint, w bigint")
     fraction = F.try_divide(F.col("old_rows"), F.col("sample_size"))

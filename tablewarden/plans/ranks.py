@@ -10,6 +10,8 @@ and probe values (a few per wanted rank) reach the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +22,13 @@ FINAL_ROWS = 1_000_000
 
 @dataclass
 class Wanted:
-    """The ``rank``-th smallest (1-based) of the ``rows`` non-null values of ``value``."""
+    """The ``rank``-th smallest (1-based) of the ``rows`` non-null values of ``column``.
+
+    Values are compared as doubles; timestamps are asked for as microseconds.
+    """
 
     name: str
-    value: Column
+    column: str
     rank: int
     rows: int               # rows inside the bracket, at first all non-null rows
     low: object = None      # open bracket; None means unbounded
@@ -31,6 +36,10 @@ class Wanted:
     below: int = 0          # rows <= low
     answer: object = None
 
+    @property
+    def value(self) -> Column:
+        return F.col(self.column).cast("double")
+
     def in_bracket(self) -> Column:
         keep = self.value.isNotNull()
         if self.low is not None:
@@ -40,14 +49,29 @@ class Wanted:
         return keep
 
 
+def _same_bracket(open_: list[Wanted]) -> dict[tuple, list[Wanted]]:
+    """Wanted ranks that look at the same values: they can share a sketch."""
+    groups: dict[tuple, list[Wanted]] = {}
+    for w in open_:
+        groups.setdefault((w.column, w.low, w.high), []).append(w)
+    return groups
+
+
 def _probe(df: DataFrame, open_: list[Wanted]) -> list[tuple]:
     slack = 2.0 / ACCURACY
+    groups = list(_same_bracket(open_).values())
     asked = []
-    for i, w in enumerate(open_):
-        q = (w.rank - w.below) / w.rows
-        at = [max(0.0, q - slack), min(1.0, q + slack)]
-        asked.append(F.percentile_approx(F.when(w.in_bracket(), w.value), at, ACCURACY).alias(f"p{i}"))
-    return [tuple(v) for v in df.agg(*asked).first()]
+    for i, group in enumerate(groups):
+        at = []
+        for w in group:
+            q = (w.rank - w.below) / w.rows
+            at += [max(0.0, q - slack), min(1.0, q + slack)]
+        asked.append(F.percentile_approx(F.when(group[0].in_bracket(), group[0].value), at, ACCURACY).alias(f"p{i}"))
+    found = {}
+    for group, values in zip(groups, df.agg(*asked).first()):
+        for j, w in enumerate(group):
+            found[w.name] = (values[2 * j], values[2 * j + 1])
+    return [found[w.name] for w in open_]
 
 
 def _narrow(df: DataFrame, open_: list[Wanted], probes: list[tuple]) -> None:
@@ -73,16 +97,26 @@ def _narrow(df: DataFrame, open_: list[Wanted], probes: list[tuple]) -> None:
 
 
 def _read_off(df: DataFrame, open_: list[Wanted]) -> None:
-    tagged = F.array(*[F.when(w.in_bracket(), F.struct(F.lit(i).alias("i"), w.value.alias("v")))
-                       for i, w in enumerate(open_)])
-    left = df.select(F.inline(F.array_compact(tagged)))
-    counts = left.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("i").orderBy("v"))
-    offset = F.element_at(F.array(*[F.lit(w.rank - w.below) for w in open_]), F.col("i") + 1)
-    hit = (counts.withColumn("upto", upto)
-           .filter((F.col("upto") >= offset) & (F.col("upto") - F.col("n") < offset)))
-    for row in hit.select("i", "v").collect():
-        open_[row["i"]].answer = row["v"]
+    """Count the values left in each bracket and walk them in order.
+
+    A bracket is a branch of its own that reads one column with the bracket as pushed filter.
+    What is ordered in one task is at most ``final_rows`` values.
+    """
+    groups = list(_same_bracket(open_).values())
+    parts = []
+    for g, group in enumerate(groups):
+        first = group[0]
+        counts = (df.filter(first.in_bracket()).select(first.value.alias("v")).groupBy("v")
+                  .agg(F.count(F.lit(1)).alias("n")))
+        parts.append(counts.select(F.lit(g).alias("g"), "v", "n"))
+    upto = F.sum("n").over(Window.partitionBy("g").orderBy("v"))
+    offsets = F.array(*[F.array(*[F.lit(w.rank - w.below) for w in group]) for group in groups])
+    mine = F.filter(F.get(offsets, F.col("g")), lambda o: (F.col("upto") >= o) & (F.col("upto") - F.col("n") < o))
+    placed = reduce(DataFrame.unionByName, parts).withColumn("upto", upto).select("g", "v", mine.alias("hit"))
+    for row in placed.filter(F.size("hit") > 0).collect():
+        for w in groups[row["g"]]:
+            if w.rank - w.below in row["hit"]:
+                w.answer = row["v"]
 
 
 def values_at_ranks(df: DataFrame, wanted: list[Wanted], final_rows: int = FINAL_ROWS) -> dict:

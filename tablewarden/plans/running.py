@@ -23,14 +23,17 @@ def trailing_totals(df: DataFrame, keys: list[str], time_col: str, totals: dict[
     Sums are exact, so the columns should be integers or decimals.
     """
     rest = [c for c in df.columns if c not in keys]
-    at = micros(F.col(time_col))
-    enter = df.select(*keys, F.struct(*rest).alias("__row"), at.alias("__at"),
-                      *[c.alias(f"__d_{n}") for n, c in totals.items()])
-    leave = enter.select(*keys, F.lit(None).cast(enter.schema["__row"].dataType).alias("__row"),
-                         (F.col("__at") + window_seconds * 1_000_000).alias("__at"),
-                         *[(-F.col(f"__d_{n}")).alias(f"__d_{n}") for n in totals])
-    chunk = F.floor(F.col("__at") / (chunk_seconds * 1_000_000))
-    events = enter.unionByName(leave).withColumn("__chunk", chunk)
+    at, width = micros(F.col(time_col)), chunk_seconds * 1_000_000
+    whole = F.struct(*rest)
+
+    def event(row: Column, when: Column, sign: int) -> Column:
+        return F.struct(row.alias("__row"), when.alias("__at"),
+                        *[(c * sign).cast(df.select(c).schema[0].dataType).alias(f"__d_{n}") for n, c in totals.items()])
+
+    gone = F.when(F.lit(False), whole)
+    both = F.array(event(F.when(F.lit(True), whole), at, 1), event(gone, at + window_seconds * 1_000_000, -1))
+    events = df.select(*keys, F.inline(both))
+    events = events.withColumn("__chunk", F.col("__at") - F.pmod("__at", F.lit(width)))
 
     per_chunk = events.groupBy(*keys, "__chunk").agg(
         *[F.sum(f"__d_{n}").alias(f"__s_{n}") for n in totals])

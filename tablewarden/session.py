@@ -56,9 +56,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so a lost executor does not recompute the past."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write once to the shared folder and go on from there.
+
+    What follows does not repeat the work that made ``df``, a lost executor reads the files
+    again, and the optimizer knows the size.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

@@ -26,16 +26,17 @@ def scan_results(documents: DataFrame, body: str = "body") -> DataFrame:
     A document without readable JSON yields one failed ``scan`` row.
     """
     text = F.trim(F.col(body))
-    as_array = F.from_json(F.when(text.startswith("["), text), SCAN_CHECK)
-    as_object = F.from_json(F.when(text.startswith("{"), text), f"struct<checks:{SCAN_CHECK}>")["checks"]
-    object_read = F.from_json(F.when(text.startswith("{"), text), "map<string,string>").isNotNull()
+    wrapped = F.when(text.startswith("["), F.concat(F.lit('{"checks":'), text, F.lit("}"))).when(text.startswith("{"), text)
+    doc = F.from_json(wrapped, f"struct<checks:{SCAN_CHECK},_corrupt_record:string>")
+    read = documents.withColumn("d", doc)
+    readable = F.col("d").isNotNull() & F.col("d._corrupt_record").isNull()
     unreadable = F.array(F.struct(
         F.lit("scan").alias("name"), F.lit("fail").alias("outcome"), F.lit("unknown").alias("table"),
         F.lit(None).cast("double").alias("measured_value"),
         F.lit("no structured output").alias("definition")))
     empty = F.array().cast(SCAN_CHECK)
-    checks = F.coalesce(as_array, as_object, F.when(object_read, empty), unreadable)
-    found = documents.withColumn("c", F.explode(checks))
+    checks = F.when(readable, F.coalesce("d.checks", empty)).otherwise(unreadable)
+    found = read.withColumn("c", F.explode(checks))
     keep = [c for c in documents.columns if c != body]
     return found.select(
         *keep,

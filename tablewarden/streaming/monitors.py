@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tablewarden.functions.times import micros, seconds_between
+from tablewarden.operators.dedup import NEVER, sent_in_chunk
 from tablewarden.operators.noise import MIN_WINDOW, PAIR
 from tablewarden.sources.documents import scan_results
 
@@ -73,18 +74,18 @@ LAST = "blocked bigint"
 def gate_alerts(stream: DataFrame, window_minutes: int = MIN_WINDOW, ts: str = "sent_at", id_col: str = "id") -> DataFrame:
     """Alerts that are sent, with the end of the running dedup window as the only state of a pair.
 
-    A batch is first reduced to one row per instant, so repeated alerts do not reach the state.
+    Only pair, time and id reach the state function; a batch is as large as the source's batch
+    limit allows, and within it only the alerts that are sent are visited one by one.
     """
     window = window_minutes * 60_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blocked = state.get[0] if state.exists else None
+        blocked = state.get[0] if state.exists else NEVER
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        keep = []
-        for i, at in enumerate(rows["at"].to_numpy()):
-            if blocked is None or at > blocked:
-                keep.append(i)
-                blocked = int(at) + window
+        at = rows["at"].to_numpy()
+        keep = sent_in_chunk(at, blocked, window)
+        if keep:
+            blocked = int(at[keep[-1]]) + window
         state.update((blocked,))
         yield rows.iloc[keep][["table_name", "alert_type", "at", "id"]]
 
