@@ -195,7 +195,7 @@ def expectation_results(df: DataFrame, table: str, *, not_null: Sequence[str] =
         measured = df.agg(*[m.alias(k) for k, m in metrics.items()])
         parts.append(measured.select(F.inline(F.array(*structs))))
     for c in unique:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(n.alias("k")).agg(
+        counts = df.select(F.col(c).alias("v")).dropna().groupBy("v").agg(n.alias("k")).agg(
             F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("u"),
             F.coalesce(F.sum("k"), F.lit(0)).alias("of"))
         parts.append(counts.select(F.inline(F.array(

@@ -22,12 +22,15 @@ DRIFT_THRESHOLD = 0.1
 NULL_THRESHOLD = 0.05
 
 
-def categorical(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), top: int = TOP_VALUES) -> DataFrame:
-    """Most frequent values of each column (ties by value), with shares of all rows.
+ENTRY = "struct<value_rank:int,value:string,value_count:bigint>"
 
-    Rows: (*by, column_name, total_rows, null_count, null_pct, value_rank, value, value_count, pct).
-    Values are counted on the map side first. The top list is taken with a per-task limit before
-    the final ranking, so no task sees all the values of a column.
+
+def top_lists(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), top: int = TOP_VALUES) -> DataFrame:
+    """(*by, column_name, total_rows, null_count, entries): the most frequent values of each column.
+
+    Values are counted on the map side first, and the list is cut per task before the final
+    ranking, so no task sees all the values of a column. Totals and lists are stacked and merged
+    by one aggregate over at most ``top`` + 1 rows per group.
     """
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total_rows"),
                                  *[F.count(c).alias(f"have{i}") for i, c in enumerate(columns)])
@@ -35,18 +38,31 @@ def categorical(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), t
         F.struct(F.lit(c).alias("column_name"), (F.col("total_rows") - F.col(f"have{i}")).alias("null_count"))
         for i, c in enumerate(columns)])))
     order = Window.partitionBy(*by, "column_name").orderBy(F.desc("value_count"), "value")
-    lists = []
+    parts = [totals]
     for c in columns:
         counts = df.filter(F.col(c).isNotNull()).groupBy(*by, F.col(c).cast("string").alias("value")).agg(
             F.count(F.lit(1)).alias("value_count"))
-        lists.append(counts.select(*by, F.lit(c).alias("column_name"), "value", "value_count")
-                     .withColumn("value_rank", F.row_number().over(order)).filter(F.col("value_rank") <= top))
-    ranked = reduce(DataFrame.unionByName, lists)
-    return totals.join(ranked, [*by, "column_name"], "left").select(
-        *by, "column_name", "total_rows", "null_count",
-        F.coalesce(F.try_divide("null_count", "total_rows"), F.lit(0.0)).alias("null_pct"),
-        "value_rank", "value", "value_count",
-        (F.col("value_count") / F.col("total_rows")).alias("pct"))
+        ranked = (counts.select(*by, F.lit(c).alias("column_name"), "value", "value_count")
+                  .withColumn("value_rank", F.row_number().over(order)).filter(F.col("value_rank") <= top))
+        parts.append(ranked.select(*by, "column_name", F.struct("value_rank", "value", "value_count").cast(ENTRY).alias("entry")))
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return stacked.groupBy(*by, "column_name").agg(
+        F.max("total_rows").alias("total_rows"), F.max("null_count").alias("null_count"),
+        F.array_sort(F.collect_list("entry")).alias("entries"))
+
+
+def _null_pct() -> Column:
+    return F.coalesce(F.try_divide("null_count", "total_rows"), F.lit(0.0))
+
+
+def categorical(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), top: int = TOP_VALUES) -> DataFrame:
+    """Most frequent values of each column (ties by value), with shares of all rows, nulls included.
+
+    Rows: (*by, column_name, total_rows, null_count, null_pct, value_rank, value, value_count, pct).
+    """
+    lists = top_lists(df, columns, by, top)
+    rows = lists.select(*by, "column_name", "total_rows", "null_count", _null_pct().alias("null_pct"), F.inline_outer("entries"))
+    return rows.withColumn("pct", F.col("value_count") / F.col("total_rows"))
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -134,9 +150,11 @@ def drift_snapshots(df: DataFrame, table: str, categorical_columns: Sequence[str
     when = F.col(period) if period else at
     parts = []
     if categorical_columns:
-        one = F.struct("value_rank", "value", "value_count", "pct")
-        lists = categorical(df, categorical_columns, by).groupBy(*by, "column_name", "null_pct").agg(
-            F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), one))).alias("top_values"))
+        shares = F.transform("entries", lambda e: F.struct(
+            e["value_rank"].alias("value_rank"), e["value"].alias("value"), e["value_count"].alias("value_count"),
+            (e["value_count"] / F.col("total_rows")).alias("pct")))
+        lists = top_lists(df, categorical_columns, by).select(
+            *by, "column_name", _null_pct().alias("null_pct"), shares.alias("top_values"))
         parts.append(lists.select(F.lit(table).alias("table_name"), "column_name", F.lit("categorical").alias("column_type"),
                                   "null_pct", F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("max"),
                                   "top_values", when.alias("snapshotted_at")))

@@ -43,10 +43,10 @@ def repeated_values(df: DataFrame, column: str, keep_null_group: bool = False) -
     The count per value is combined on the map side, so a value holding a large share of the
     table moves as one partial count per task.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(F.col(column).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     repeated = F.col("n") > 1
     if not keep_null_group:
-        repeated = repeated & F.col(column).isNotNull()
+        repeated = repeated & F.col("v").isNotNull()
     return counts.agg(F.count_if(repeated).alias("repeated"),
                       F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 

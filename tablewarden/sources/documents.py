@@ -10,7 +10,7 @@ SCAN_CHECK = "array<struct<name:string,outcome:string,table:string,measured_valu
 
 def read_documents(spark: SparkSession, path: str, suffix: str = "*.json") -> DataFrame:
     """Whole files as rows, with the file's path and modification time."""
-    files = spark.read.option("pathGlobFilter", suffix).option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=suffix)
     return files.select(F.col("value").alias("body"), F.col("_metadata.file_path").alias("path"),
                         F.col("_metadata.file_modification_time").alias("modified_at"))
 
