@@ -121,7 +121,7 @@ def test_shared_folder_follows_the_session(spark, monkeypatch):
     named, read = folder(), type(spark.conf).get
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: named if key == "spark.checkpoint.dir" else read(self, key, *default))
     assert shared_folder(spark) == named
-    assert cut_lineage(spark.range(3)).inputFiles()[0].startswith(f"file:{named}")
+    assert named in cut_lineage(spark.range(3)).inputFiles()[0]
 
 
 def run(spark, stream):
