@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The comparison operators and the unsigned numeric literal that are accepted.
-# A sign, `and`/`or`, `is None`, chained comparisons and names on the right are errors.
+# The comparison operators and the unsigned numeric literal that are accepted; True
+# and False stand for 1 and 0. A sign, `and`/`or`, `is None`, chained comparisons and names on the
+# right are errors.
 OPERATORS = ("==", "!=", "<=", ">=", "<", ">")
 ASSERTION_PATTERN = (
     r"^\s*result\s*(==|!=|<=|>=|<|>)\s*"
-    r"([0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?)\s*$"
+    r"([0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|True|False)\s*$"
 )
+TRUTH = {"True": 1.0, "False": 0.0}
 
 
 def compare(left: Column, op: str, right) -> Column:
@@ -39,14 +41,17 @@ class Assertion:
     value: float
 
     def holds(self, result: Column) -> Column:
-        return compare(result, self.op, F.lit(self.value))
+        """NULL stands for a value that is no number: it differs from every number, and that is
+        all that can be said of it."""
+        return F.coalesce(compare(result, self.op, F.lit(self.value)), F.lit(self.op == "!="))
 
 
 def parse_assertion(text: str) -> Assertion:
     found = re.match(ASSERTION_PATTERN, text)
     if not found:
         raise ValueError(f"assertion must be 'result <op> <number>', got {text!r}")
-    return Assertion(found.group(1), float(found.group(2)))
+    literal = found.group(2)
+    return Assertion(found.group(1), TRUTH[literal] if literal in TRUTH else float(literal))
 
 
 def assertion_op(text: Column) -> Column:
@@ -56,7 +61,10 @@ def assertion_op(text: Column) -> Column:
 def assertion_holds(text: Column, result: Column) -> Column:
     """Assertion text held in a column. NULL where the text is outside the grammar."""
     op = assertion_op(text)
-    bound = F.regexp_extract(text, ASSERTION_PATTERN, 2).try_cast("double")
+    literal = F.regexp_extract(text, ASSERTION_PATTERN, 2)
+    bound = literal.try_cast("double")
+    for word, number in TRUTH.items():
+        bound = F.when(literal == word, number).otherwise(bound)
     outcome = F.lit(None).cast("boolean")
     for symbol in OPERATORS:
         outcome = F.when(op == symbol, compare(result, symbol, bound)).otherwise(outcome)

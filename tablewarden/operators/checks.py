@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewarden.functions.assertions import Assertion, compare, parse_assertion
 from tablewarden.functions.times import (before, bucket_start, day_start, duration_seconds, instant,
@@ -25,6 +27,8 @@ FORMATS = {"email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"}
 ROW_METRICS = ("row_count", "missing_count", "missing_percent", "min", "max", "avg",
                "invalid_count", "freshness")
 VALUE_METRICS = ("duplicate_count", "duplicate_percent")
+# What a user's query raises when it does not parse, resolve, or names an unknown table.
+UNUSABLE = (PySparkException, KeyError)
 
 
 @dataclass(frozen=True)
@@ -218,30 +222,43 @@ def first_value(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]
     return first.agg(F.first("v").alias("result"), F.count(F.lit(1)).alias("rows"))
 
 
+def number(answer: DataFrame) -> Column:
+    """The result as a double if its type is a number or a boolean, else NULL."""
+    kind = answer.schema["result"].dataType
+    fits = isinstance(kind, (T.NumericType, T.BooleanType))
+    return F.col("result").cast("double") if fits else F.lit(None).cast("double")
+
+
 def run_sql_checks(spark: SparkSession, checks: Sequence[SqlCheck],
                    tables: Mapping[str, DataFrame]) -> DataFrame:
     """User queries judged by an assertion on their first value.
 
-    No row counts as 0. A NULL or non-numeric value fails, and so does an assertion outside the
-    grammar. The metric is kept only for numbers.
+    No row counts as 0. A NULL or non-numeric value fails everything but ``!=``, and an assertion
+    outside the grammar or a query that does not compile fails. The metric is kept only for
+    numbers.
     """
     parts = []
     for c in checks:
-        answer = first_value(spark, c.query, tables)
-        numeric = answer.schema["result"].dataType.typeName() in (
-            "byte", "short", "integer", "long", "float", "double", "decimal", "void")
-        value = F.when(F.col("rows") == 0, F.lit(0.0)).otherwise(
-            F.col("result").cast("double") if numeric else F.lit(None).cast("double"))
         try:
-            passed = F.coalesce(parse_assertion(c.assertion).holds(value), F.lit(False))
+            answer = first_value(spark, c.query, tables)
+        except UNUSABLE:
+            answer = small_frame(spark, [(None, 1)], "result double, rows bigint")
+            parts.append(_sql_row(answer, c, F.lit(False), F.lit(None).cast("double")))
+            continue
+        value = F.when(F.col("rows") == 0, F.lit(0.0)).otherwise(number(answer))
+        try:
+            passed = parse_assertion(c.assertion).holds(value)
         except ValueError:
             passed = F.lit(False)
-        parts.append(answer.select(
-            F.lit(c.name).alias("check_name"), F.lit(c.table).alias("table_name"),
-            F.lit("custom_sql").alias("check_type"), passed.alias("passed"), value.alias("metric_value")))
+        parts.append(_sql_row(answer, c, passed, value))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _sql_row(answer: DataFrame, c: SqlCheck, passed: Column, value: Column) -> DataFrame:
+    return answer.select(F.lit(c.name).alias("check_name"), F.lit(c.table).alias("table_name"),
+                         F.lit("custom_sql").alias("check_type"), passed.alias("passed"), value.alias("metric_value"))
+
+
 def results(history: DataFrame, table: str | None = None, passed: bool | None = None,
             limit: int = 50) -> DataFrame:
     where = None

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions.assertions import parse_assertion
-from tablewarden.operators.checks import first_value
+from tablewarden.operators.checks import UNUSABLE, first_value, number
 from tablewarden.operators.freshness import Watch, poll
 from tablewarden.plans.newest import newest
 from tablewarden.plans.rules import Rule, evaluate, repeated_values, rule_row
@@ -165,10 +165,13 @@ def _sql_rule(spark: SparkSession, r: SqlRule, c: Contract, tables: Mapping[str,
         judge = parse_assertion(r.assertion).holds
     except ValueError as problem:
         return _fixed(spark, [(r.name, *who, str(problem))])
-    value = F.coalesce(F.col("result").try_cast("double"), F.lit(0.0))
-    rule = Rule(r.name, value, judge, _tags(c))
     used = {n: df for n, df in tables.items() if "{" + n + "}" in r.sql}
-    answer = first_value(spark, r.sql, used)
+    try:
+        answer = first_value(spark, r.sql, used)
+    except UNUSABLE as problem:
+        return _fixed(spark, [(r.name, *who, str(problem).splitlines()[0])])
+    value = F.when(F.col("result").isNull(), F.lit(0.0)).otherwise(number(answer))
+    rule = Rule(r.name, value, judge, _tags(c))
     detail = lambda _, v: [F.concat(F.lit("SQL returned "), F.coalesce(F.col("result").cast("string"), F.lit("0"))).alias("detail")]
     return answer.select(F.inline(F.array(rule_row(rule, value, detail))))
 

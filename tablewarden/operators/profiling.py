@@ -62,6 +62,11 @@ def profile_approx(df: DataFrame, table: str, as_of: datetime | str, rsd: float
     return _fused(df, table, as_of, True, rsd)
 
 
+def report(profiles: DataFrame) -> DataFrame:
+    """What a reader is shown: null share in percent with two digits, and distinct values."""
+    return profiles.select("table_name", "column_name", F.round(F.col("null_pct") * 100, 2).alias("null_percent"), "distinct_count")
+
+
 def latest(profiles: DataFrame) -> DataFrame:
     """All rows of each table's newest profile run: the rows of a run share its time."""
     rest = [c for c in profiles.columns if c not in ("table_name", "profiled_at")]

@@ -11,7 +11,7 @@ from tablewarden.operators import runs as R
 from tablewarden.operators import status as S
 from tablewarden.queryset.fixtures import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, fixture, table, with_
 from tablewarden.queryset.registry import query
-from tablewarden.session import fresh_path
+from tablewarden.session import cut_lineage, fresh_path
 from tablewarden.sources import documents as D
 from tablewarden.sources import history as H
 
@@ -131,7 +131,8 @@ def dbt_sql(where=""):
 
 
 def dbt_rows(spark, pairs):
-    joined = B.joined_results(pairs, "event_id", EVENTS_AS_OF)
+    # Both outputs come from the same parsed documents: write them once, read them twice.
+    joined = cut_lineage(B.joined_results(pairs, "event_id", EVENTS_AS_OF))
     runs = B.run_rows(joined).select(F.lit("run").alias("kind"), F.col("run_id").alias("name"), F.col("dag_id").alias("target"),
                                      (F.col("state") == "success").alias("ok"), F.col("duration_seconds").alias("seconds"), F.col("end_time").alias("at"))
     checks = B.check_rows(joined).select(F.lit("check").alias("kind"), F.col("check_name").alias("name"), F.col("table_name").alias("target"),

@@ -35,7 +35,8 @@ def test_bad_durations(spark, text):
 
 @pytest.mark.parametrize("text,value,expected", [
     ("result == 0", 0, True), ("result == 0", 5, False), ("result != 0", 5, True), ("result >= 100", 100, True),
-    ("result > 100", 100, False), ("result <= 0.5", 0.5, True), ("result < 10", 9, True), ("result>1e3", 1001, True)])
+    ("result > 100", 100, False), ("result <= 0.5", 0.5, True), ("result < 10", 9, True), ("result>1e3", 1001, True), ("result == True", 1, True),
+    ("result != False", 0, False)])
 def test_assertions(spark, text, value, expected):
     df = small_frame(spark, [(text, float(value))], "t string, v double")
     assert df.select(parse_assertion(text).holds(F.col("v")), assertion_holds(F.col("t"), F.col("v"))).first() == (expected, expected)
@@ -250,3 +251,25 @@ def test_retention_order():
     assert retention("alert_logs", None, {}, 90) == 90
     assert retention("alert_logs", None, {"alert_logs": 10}, 90) == 10
     assert retention("alert_logs", 5, {"alert_logs": 10}, 90) == 5
+
+
+def test_sql_check_results_that_are_no_numbers(spark):
+    t = small_frame(spark, [("x", True, None)], "s string, b boolean, n int")
+    cases = [("s", "result != 0", True, None), ("s", "result == 0", False, None), ("b", "result == 1", True, 1.0),
+             ("n", "result != 0", True, None), ("n", "result >= 0", False, None), ("nowhere", "result != 0", False, None)]
+    checks = [C.SqlCheck(str(i), f"SELECT {c} FROM {{t}}", a) for i, (c, a, _, _) in enumerate(cases)]
+    got = values(C.run_sql_checks(spark, checks, {"t": t}), "check_name", "passed", "metric_value")
+    assert got == [(str(i), p, m) for i, (_, _, p, m) in enumerate(cases)]
+
+
+def test_contract_sql_rule_counts_null_as_zero(spark):
+    t = small_frame(spark, [("x", None)], "s string, n int")
+    rules = tuple(K.SqlRule(f"r{i}", f"SELECT {c} FROM {{t}}", a) for i, (c, a) in enumerate([("n", "result == 0"), ("s", "result == 0"), ("s", "result != 0"), ("nowhere", "result != 0")]))
+    assert values(K.validate(spark, [K.Contract("c", "t", rules=rules)], {"t": t}), "rule", "passed") == [("r0", True), ("r1", False), ("r2", True), ("r3", False)]
+
+
+def test_profile_report(spark):
+    t = small_frame(spark, [(1,), (None,), (3,)], "n int")
+    from tablewarden.operators import profiling as P
+    assert values(P.report(P.profile(t, "t", AS_OF)), "column_name", "null_percent", "distinct_count") == [("n", 33.33, 2)]
+    assert P.profile(small_frame(spark, [], "n int"), "t", AS_OF).count() == 0
