@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.times import instant, parse_iso
@@ -18,30 +18,29 @@ RUN_KINDS = ("model", "seed", "snapshot")
 GOOD = ("success", "pass")
 
 
-ITEM = f"array<struct<unique_id:string,result:struct<unique_id:string,status:string,execution_time:double,message:string>,rank:int,node:{NODE}>>"
+def known_nodes(manifest: Column) -> Column:
+    """All nodes of a manifest as one map; sources, then metrics, stand in for absent nodes."""
+    nodes, sources, metrics = (F.coalesce(manifest[part], F.create_map().cast(f"map<string,{NODE}>"))
+                               for part in ("nodes", "sources", "metrics"))
+    more = F.map_filter(sources, lambda k, _: ~F.map_contains_key(nodes, k))
+    last = F.map_filter(metrics, lambda k, _: ~F.map_contains_key(nodes, k) & ~F.map_contains_key(sources, k))
+    return F.map_concat(nodes, more, last)
 
 
 def joined_results(artifacts: DataFrame, key: str, as_of: datetime | str, results: str = "run_results",
                    manifest: str = "manifest") -> DataFrame:
     """One row per result with its node. ``key`` identifies an artifact pair.
 
-    Results and nodes become rows of one list per pair and meet in one aggregate on (pair, node
-    id): each document is parsed once and a large manifest is not searched once per result.
-    Sources, then metrics, stand in for absent nodes.
+    Results and nodes are unfolded to rows and joined on (artifact, node id), so a manifest with
+    many nodes is not searched once per result.
     """
-    none = F.lit(None)
-    parts = [F.transform("d.results", lambda r: F.struct(r["unique_id"], r, none, none)).cast(ITEM)]
-    for rank, section in enumerate(("nodes", "sources", "metrics")):
-        entries = F.map_entries(f"m.{section}")
-        parts.append(F.transform(entries, lambda e, i=rank: F.struct(e["key"], none, F.lit(i), e["value"])).cast(ITEM))
-    items = F.concat(*[F.coalesce(p, F.array().cast(ITEM)) for p in parts])
-    parsed = artifacts.select(key, F.from_json(results, RESULTS).alias("d"), F.from_json(manifest, MANIFEST).alias("m"))
+    doc = artifacts.select(key, F.from_json(results, RESULTS).alias("d"))
     at = F.coalesce(parse_iso(F.col("d.metadata.generated_at")), instant(as_of))
-    rows = parsed.select(key, F.col("d.metadata.invocation_id").alias("invocation_id"), at.alias("at"), F.inline(items))
-    found = F.when(F.col("result").isNotNull(), F.struct("invocation_id", "at", "result"))
-    met = rows.groupBy(key, "unique_id").agg(F.min_by("node", "rank").alias("node"), F.collect_list(found).alias("found"))
-    return met.select(key, "unique_id", "node", F.explode("found").alias("f")).select(
-        key, "unique_id", "node", "f.invocation_id", "f.at", "f.result.status", "f.result.execution_time", "f.result.message")
+    rows = doc.select(key, F.col("d.metadata.invocation_id").alias("invocation_id"), at.alias("at"),
+                      F.inline("d.results"))
+    nodes = artifacts.select(key, F.from_json(manifest, MANIFEST).alias("m")).select(
+        key, F.explode(known_nodes(F.col("m"))).alias("unique_id", "node"))
+    return rows.join(nodes, [key, "unique_id"], "left")
 
 
 def run_rows(joined: DataFrame) -> DataFrame:
