@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewarden.functions.assertions import Assertion, compare, parse_assertion
+from tablewarden.functions.assertions import compare, parse_assertion
 from tablewarden.functions.times import (before, bucket_start, day_start, duration_seconds, instant,
                                          seconds_between)
 from tablewarden.plans.newest import newest
@@ -317,8 +317,3 @@ def checks_in_last_day(history: DataFrame, as_of: datetime | str) -> DataFrame:
     return recent.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("checks_run"), F.count_if("passed").alias("passed"),
         F.count_if(~F.col("passed")).alias("failed"))
-
-
-__all__ = ["Assertion", "Check", "SqlCheck", "checks_in_last_day", "daily_pass_rate", "declare",
-           "expectation_results", "missing_columns", "pass_rate_by_table", "results", "row_metric",
-           "run_sql_checks", "run_suite", "trend"]

@@ -85,9 +85,14 @@ def wanted_rank(rows: int, share: float) -> int:
     return max(1, int(rows * share))
 
 
-def percentiles(df: DataFrame, columns: Sequence[str], final_rows: int = FINAL_ROWS) -> DataFrame:
-    """Exact values at rank max(1, floor(n * p)) of the non-null values, one row per column."""
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+def percentiles(df: DataFrame, columns: Sequence[str], final_rows: int = FINAL_ROWS,
+                counts: Sequence[int] | None = None) -> DataFrame:
+    """Exact values at rank max(1, floor(n * p)) of the non-null values, one row per column.
+
+    ``counts`` are the non-null rows of the columns if they are known already.
+    """
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     wanted = [Wanted(f"{c}.{p}", c, wanted_rank(counts[i], share), counts[i])
               for i, c in enumerate(columns) for p, share in PERCENTILES.items()]
     found = values_at_ranks(df, wanted, final_rows)
@@ -101,16 +106,19 @@ def bucket_bounds(low: float, high: float, buckets: int = BUCKETS) -> list[tuple
     return [(s, s + width) for s in starts]
 
 
-def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str],
+              bounds: Sequence[tuple[float | None, float | None]] | None = None) -> DataFrame:
     """Ten equal-width buckets per column, the last one closed; none for a constant column.
 
-    One scan for the bounds, one for all the conditional counts of all columns.
+    One scan for the bounds unless they are given, one for the conditional counts of all columns.
     """
-    bounds = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
-                      for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if bounds is None:
+        flat = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
+                        for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        bounds = list(zip(flat[0::2], flat[1::2]))
     asked, rows = [], []
     for i, c in enumerate(columns):
-        low, high = bounds[f"lo{i}"], bounds[f"hi{i}"]
+        low, high = bounds[i]
         if low is None or not high > low:
             continue
         v = F.col(c).cast("double")
@@ -126,11 +134,21 @@ def histogram(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_snapshot(df: DataFrame, table: str, columns: Sequence[str], at: Column) -> DataFrame:
-    """Full numeric snapshot rows, one per column."""
-    bars = histogram(df, columns).groupBy("column_name").agg(
+    """Full numeric snapshot rows, one per column.
+
+    The statistics of the columns (a row each) are fetched first; they give the ranks and the
+    bucket bounds, so the table is read once for them, once for the buckets and, as long as the
+    columns are not too long for it, once for the ranks.
+    """
+    stats = numeric_stats(df, columns)
+    found = {r["column_name"]: r for r in stats.collect()}
+    known = small_frame(df.sparkSession, [tuple(found[c][n] for n in stats.columns) for c in columns],
+                        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields))
+    bars = histogram(df, columns, [(found[c]["min"], found[c]["max"]) for c in columns]).groupBy("column_name").agg(
         F.array_sort(F.collect_list(F.struct("bucket", "range_low", "range_high", "count"))).alias("histogram"))
-    marks = percentiles(df, columns).select("column_name", F.struct(*PERCENTILES).alias("percentiles"))
-    return (numeric_stats(df, columns).join(marks, "column_name").join(bars, "column_name", "left")
+    filled = [found[c]["total_rows"] - found[c]["null_count"] for c in columns]
+    marks = percentiles(df, columns, counts=filled).select("column_name", F.struct(*PERCENTILES).alias("percentiles"))
+    return (known.join(marks, "column_name").join(bars, "column_name", "left")
             .select(F.lit(table).alias("table_name"), "column_name", F.lit("numeric").alias("column_type"),
                     "total_rows", "null_count", "null_pct", "min", "max", "mean", "percentiles", "histogram",
                     at.alias("snapshotted_at")))

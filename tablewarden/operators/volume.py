@@ -9,11 +9,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewarden.functions.times import before, instant, micros, seconds_between
+from tablewarden.functions.times import before, instant, micros
 from tablewarden.plans.newest import newest_per
 from tablewarden.plans.ranks import Wanted, values_at_ranks
 from tablewarden.plans.running import trailing_totals
-from tablewarden.session import small_frame
+from tablewarden.session import cut_lineage, small_frame
 
 # Fixed values.
 WINDOW_DAYS = 7
@@ -123,8 +123,10 @@ def gate_backfills(checked: DataFrame, watches: Sequence[BackfillWatch], as_of:
     """An anomaly explained by a backfill stops being an anomaly and becomes an ``info`` event.
 
     Only the tables that are anomalous now are inspected: their names (at most one per
-    configured table) are the only thing fetched.
+    configured table) are the only thing fetched. The checked rows are written once, so the
+    tables behind them are not counted again.
     """
+    checked = cut_lineage(checked)
     watched = {w.table: w for w in watches}
     flagged = [r["table_name"] for r in checked.filter(
         F.col("is_anomaly") & F.col("table_name").isin(*watched)).select("table_name").collect()] if watched else []
@@ -156,7 +158,3 @@ def deviation_rank(records: DataFrame) -> DataFrame:
             .select("table_name", "row_count", F.round(F.col("deviation_pct") * 100, 1).alias("deviation_percent"),
                     "is_anomaly")
             .orderBy(F.desc("deviation_percent"), "table_name"))
-
-
-__all__ = ["BackfillWatch", "backfill_events", "backtest", "check", "detect_backfill", "deviation",
-           "deviation_rank", "gate_backfills", "seconds_between", "zscore"]

@@ -72,10 +72,6 @@ def src_file_stats(spark, sf):
     return S.file_stats(table(spark, sf, "lineitem"))
 
 
-CHECK_HISTORY_SQL = """SELECT table_name, check_name, passed, executed_at, metric_value
-    FROM check_history"""
-
-
 @query("sink_history", with_("check_history") + """
     SELECT CAST(executed_at AS DATE) AS on_date, table_name, count(*) AS n,
            count(*) FILTER (WHERE passed) AS n_passed

@@ -59,6 +59,19 @@ def test_histogram_counts_every_row_once(spark):
     assert D.histogram(small_frame(spark, [(1.0,), (1.0,)], "v double"), ["v"]).count() == 0
 
 
+def test_numeric_snapshot_agrees_with_its_parts(spark):
+    rows = [(v, None if i % 7 == 0 else i % 13) for i, v in enumerate(column("hot", 500))]
+    df = small_frame(spark, rows, "a double, b int").withColumn("c", F.lit(4)).withColumn("d", F.lit(None).cast("int"))
+    names = ["a", "b", "c", "d"]
+    snap = {r["column_name"]: r for r in D.numeric_snapshot(df, "t", names, F.lit("2024-01-01").cast("timestamp_ntz")).collect()}
+    marks = {r["column_name"]: r for r in D.percentiles(df, names).collect()}
+    bars = D.histogram(df, names).collect()
+    assert sorted(snap) == names and snap["c"]["histogram"] is None and snap["d"]["max"] == 0.0
+    for c in names:
+        assert snap[c]["percentiles"].asDict() == {p: marks[c][p] for p in D.PERCENTILES}
+        assert [tuple(b) for b in snap[c]["histogram"] or []] == sorted((b["bucket"], b["range_low"], b["range_high"], b["count"]) for b in bars if b["column_name"] == c)
+
+
 def test_grouped_quantiles(spark):
     rng = random.Random(3)
     rows = [("hot", rng.random() * 50) for _ in range(800)] + [("hot", 7.0)] * 400 + [("one", 4.5)] + [("neg", -rng.random() * 9) for _ in range(31)]
