@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.times import micros
 from tablewarden.operators.noise import MIN_WINDOW, PAIR
 
+# A chunk spans at most this many windows, fewer where alerts are dense.
 CHUNK_WINDOWS = 32
+CHUNK_ROWS = 1_000_000
 NEVER = np.iinfo(np.int64).min
 STEP = "table_name string, alert_type string, chunk bigint, until bigint, last bigint"
 ENTRY = "table_name string, alert_type string, chunk bigint, blocked bigint"
@@ -61,12 +63,19 @@ def sent_in_chunk(at: np.ndarray, blocked: int, window: int) -> list[int]:
     return out
 
 
+def fitting_windows(alerts: DataFrame, at: Column, window: int, chunk_rows: int) -> int:
+    """Windows per chunk so that the densest stretch of any pair stays within ``chunk_rows``."""
+    cells = alerts.groupBy(*PAIR, (at - F.pmod(at, F.lit(window))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    densest = cells.agg(F.max("n")).first()[0] or 1
+    return max(1, min(CHUNK_WINDOWS, chunk_rows // densest))
+
+
 def replay(alerts: DataFrame, window_minutes: int = MIN_WINDOW, time_col: str = "sent_at",
-           id_col: str = "id", chunk_windows: int = CHUNK_WINDOWS) -> DataFrame:
+           id_col: str = "id", chunk_windows: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Alerts that are sent: (table_name, alert_type, sent_at, id)."""
     window = window_minutes * 60_000_000
-    width = window * chunk_windows
     at = micros(F.col(time_col))
+    width = window * (chunk_windows or fitting_windows(alerts, at, window, chunk_rows))
     # Alerts of a pair at the same instant: the first can be sent, the others never are.
     moments = alerts.groupBy(*PAIR, at.alias("at")).agg(F.min(id_col).alias("id")).withColumn(
         "chunk", F.col("at") - F.pmod("at", F.lit(width)))

@@ -171,9 +171,9 @@ def arrival_sql(t, name, min_rows, src=None):
               FROM s LEFT JOIN {src or t} ON ts > prev_expected_at AND ts <= expected_at WHERE {INSIDE.format(t=t)} GROUP BY expected_at)"""
 
 
-@query("arrival_check", with_("arrivals", s=SLOTS.format(cond=DAILY_COND)) + arrival_sql("arrivals", "arrivals", 20))
+@query("arrival_check", with_("arrivals", s=SLOTS.format(cond=DAILY_COND)) + arrival_sql("arrivals", "arrivals", 200))
 def arrival_check(spark, sf):
-    return A.check(fixture(spark, sf, "arrivals"), "arrivals", "ts", EVENTS_AS_OF, min_rows=20)
+    return A.check(fixture(spark, sf, "arrivals"), "arrivals", "ts", EVENTS_AS_OF, min_rows=200)
 
 
 @query("arrival_check_grace", with_("arrivals", s=SLOTS.format(cond=DAILY_COND), c=f"""
@@ -181,14 +181,14 @@ def arrival_check(spark, sf):
            count(*) FILTER (WHERE ts <= expected_at + INTERVAL 60 MINUTE) AS on_time, count(ts) AS total, max(ts) AS last_ts
     FROM s LEFT JOIN arrivals ON ts > prev_expected_at AND ts <= greatest(next_at, expected_at + INTERVAL 60 MINUTE) AND ts <= TIMESTAMP '{EVENTS_AS_OF}'
     WHERE {INSIDE.format(t='arrivals')} GROUP BY expected_at""") + """
-    SELECT 'arrivals' AS table_name, expected_at, deadline, CASE WHEN on_time >= 20 OR total < 20 THEN on_time ELSE total END AS rows_arrived,
-           CASE WHEN on_time >= 20 THEN NULL WHEN total >= 20 THEN (epoch_us(last_ts) - epoch_us(deadline)) / 1e6 WHEN as_of >= deadline THEN (epoch_us(as_of) - epoch_us(deadline)) / 1e6 END AS delay_seconds,
-           CASE WHEN on_time >= 20 THEN 'ok' WHEN total >= 20 THEN 'late' WHEN as_of >= deadline THEN 'missing' ELSE 'ok' END AS status, as_of AS checked_at FROM c""")
+    SELECT 'arrivals' AS table_name, expected_at, deadline, CASE WHEN on_time >= 200 OR total < 200 THEN on_time ELSE total END AS rows_arrived,
+           CASE WHEN on_time >= 200 THEN NULL WHEN total >= 200 THEN (epoch_us(last_ts) - epoch_us(deadline)) / 1e6 WHEN as_of >= deadline THEN (epoch_us(as_of) - epoch_us(deadline)) / 1e6 END AS delay_seconds,
+           CASE WHEN on_time >= 200 THEN 'ok' WHEN total >= 200 THEN 'late' WHEN as_of >= deadline THEN 'missing' ELSE 'ok' END AS status, as_of AS checked_at FROM c""")
 def arrival_check_grace(spark, sf):
-    return A.check_grace(fixture(spark, sf, "arrivals"), "arrivals", "ts", EVENTS_AS_OF, min_rows=20)
+    return A.check_grace(fixture(spark, sf, "arrivals"), "arrivals", "ts", EVENTS_AS_OF, min_rows=200)
 
 
-TYPED = ("click", "view", "error")
+TYPED = ("click", "view", "error", "purchase", "signup")
 
 
 def typed_checks(spark, sf):

@@ -104,7 +104,7 @@ def brute_replay(moments, minutes):
     return sent
 
 
-@pytest.mark.parametrize("minutes,windows", [(60, 1), (60, 2), (60, 32), (7, 3)])
+@pytest.mark.parametrize("minutes,windows", [(60, 1), (60, 2), (60, 32), (7, 3), (60, None), (30, None)])
 def test_dedup_replay(spark, minutes, windows):
     rng = random.Random(11)
     moments = {("hot", "q"): [START + timedelta(minutes=i) for i in range(2000)],                      # steady, no gap
@@ -118,7 +118,7 @@ def test_dedup_replay(spark, minutes, windows):
             i += 1
     df = small_frame(spark, rows, "id bigint, table_name string, alert_type string, sent_at timestamp_ntz")
     got = {}
-    for t, k, at, first in R.replay(df, minutes, chunk_windows=windows).select("table_name", "alert_type", "sent_at", "id").collect():
+    for t, k, at, first in R.replay(df, minutes, chunk_windows=windows, chunk_rows=100).select("table_name", "alert_type", "sent_at", "id").collect():
         got.setdefault((t, k), []).append(at)
         assert first == min(j for j, tt, kk, aa in rows if (tt, kk, aa) == (t, k, at))
     assert {k: sorted(v) for k, v in got.items()} == {k: brute_replay(v, minutes) for k, v in moments.items()}

@@ -273,3 +273,27 @@ def test_profile_report(spark):
     from tablewarden.operators import profiling as P
     assert values(P.report(P.profile(t, "t", AS_OF)), "column_name", "null_percent", "distinct_count") == [("n", 33.33, 2)]
     assert P.profile(small_frame(spark, [], "n int"), "t", AS_OF).count() == 0
+
+
+def test_suppressions_are_created_listed_and_removed(spark):
+    asked = small_frame(spark, [(1, "a", 60, "reload"), (2, "b", 1, "x")], "id bigint, table_name string, minutes int, reason string")
+    made = A.new_suppressions(asked, AS_OF)
+    assert values(A.list_suppressions(made, "2024-01-10 00:30:00"), "id") == [(1,)]
+    assert values(A.list_suppressions(made, "2024-01-10 00:30:00", active_only=False), "id") == [(1,), (2,)]
+    assert values(A.without_suppression(made, 1), "table_name") == [("b",)]
+
+
+def test_backfill_gate(spark):
+    old = small_frame(spark, [(i,) for i in range(400)], "h int").select((F.lit(AS_OF).cast("timestamp_ntz") - F.col("h") * F.expr("INTERVAL 1 HOUR")).alias("ts"))
+    new = old.filter("ts >= '2024-01-09'")
+    checked = small_frame(spark, [("old", 9, 3, 3.0, 2.0, True), ("new", 9, 3, 3.0, 2.0, True), ("calm", 3, 3, 3.0, 0.0, False), ("unwatched", 9, 3, 3.0, 2.0, True)],
+                          "table_name string, row_count bigint, history_points bigint, rolling_avg double, deviation_pct double, is_anomaly boolean")
+    gated = V.gate_backfills(checked, [V.BackfillWatch(n, t, "ts") for n, t in (("old", old), ("new", new), ("calm", old))], AS_OF)
+    assert values(gated, "table_name", "is_anomaly", "is_backfill", "severity") == [
+        ("calm", False, False, None), ("new", True, False, "warn"), ("old", False, True, "info"), ("unwatched", True, False, "warn")]
+    assert values(V.backfill_events(gated, AS_OF), "table_name", "row_count", "historical_row_fraction") == [("old", 9, round((400 - 169) / 400, 4))]
+
+
+def test_backfill_of_an_empty_table(spark):
+    empty = small_frame(spark, [], "ts timestamp_ntz")
+    assert V.detect_backfill(V.BackfillWatch("t", empty, "ts"), AS_OF).first()["is_backfill"] is False
