@@ -45,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         current = sc.getCheckpointDir()
     return current
