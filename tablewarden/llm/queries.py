@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import toxicity
+from tablewarden.llm import langid, toxicity
+from tablewarden.llm.license_scan import scan
 from tablewarden.llm.near_dedup import near_duplicates
 from tablewarden.llm.packing import pack
 from tablewarden.llm.repetition import repetition
@@ -49,5 +50,15 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(F.coalesce(fold(3) != 1, F.lit(False))))
+    return langid.identify(docs, model, [F.col("doc_id"), F.coalesce(fold(3) == 1, F.lit(False))], ["doc_id", "held_out"])
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
 ORACLES: dict[str, str] = {}
