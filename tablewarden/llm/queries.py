@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import langid, toxicity
+from tablewarden.llm import backoff_lm, langid, toxicity
 from tablewarden.llm.license_scan import scan
 from tablewarden.llm.near_dedup import near_duplicates
 from tablewarden.llm.packing import pack
@@ -60,5 +60,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
+def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"), fold(10) == 0)
+
+
+QUERIES = {"op2_backoff_lm": op2_backoff_lm, "op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
 ORACLES: dict[str, str] = {}
