@@ -13,6 +13,8 @@ from tablewarden.llm.license_scan import scan
 from tablewarden.llm.near_dedup import near_duplicates
 from tablewarden.llm.packing import pack
 from tablewarden.llm.repetition import repetition
+from tablewarden.llm.top_products import top_products
+from tablewarden.llm.warc_index import capture_index
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -64,5 +66,14 @@ def op2_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.score(table(spark, sf_dir, "documents"), fold(10) == 0)
 
 
-QUERIES = {"op2_backoff_lm": op2_backoff_lm, "op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
+def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # pages has no capture time: seconds from an epoch, by id
+    return capture_index(table(spark, sf_dir, "pages"), F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
+
+
+QUERIES = {"op1_warc_index": op1_warc_index, "op9_top_products": op9_top_products, "op2_backoff_lm": op2_backoff_lm, "op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
 ORACLES: dict[str, str] = {}
