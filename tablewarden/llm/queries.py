@@ -12,6 +12,7 @@ from tablewarden.llm import backoff_lm, langid, toxicity
 from tablewarden.llm.license_scan import scan
 from tablewarden.llm.near_dedup import near_duplicates
 from tablewarden.llm.packing import pack
+from tablewarden.llm.piece_sampling import sample_pieces
 from tablewarden.llm.repetition import repetition
 from tablewarden.llm.top_products import top_products
 from tablewarden.llm.warc_index import capture_index
@@ -75,5 +76,9 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(table(spark, sf_dir, "pages"), F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
 
 
-QUERIES = {"op1_warc_index": op1_warc_index, "op9_top_products": op9_top_products, "op2_backoff_lm": op2_backoff_lm, "op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {"op5_piece_sampling": op5_piece_sampling, "op1_warc_index": op1_warc_index, "op9_top_products": op9_top_products, "op2_backoff_lm": op2_backoff_lm, "op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
 ORACLES: dict[str, str] = {}
