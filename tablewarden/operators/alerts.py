@@ -85,7 +85,7 @@ class Route:
         if self.severity is not None:
             tests.append(F.col("severity") == self.severity)
         if self.table_pattern is not None:
-            anchored = "^" + self.table_pattern.replace("*", ".*") + "$"
+            anchored = "^(?:" + self.table_pattern.replace("*", ".*") + ")$"
             tests.append(F.col("table_name").isNull() | F.col("table_name").rlike(anchored))
         return reduce(lambda a, b: a & b, tests)
 

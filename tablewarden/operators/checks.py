@@ -61,7 +61,7 @@ class Check:
 
 
 LINE = re.compile(r"^\s*(\w+)\s*(?:\(\s*([\w.]+)\s*\))?\s*"
-                  r"(?:between\s+([\w.]+)\s+and\s+([\w.]+)|(=|!=|<=|>=|<|>)\s*([\w.]+))\s*$")
+                  r"(?:between\s+(-?[\w.]+)\s+and\s+(-?[\w.]+)|(=|!=|<=|>=|<|>)\s*(-?[\w.]+))\s*$")
 EXISTS_LINE = re.compile(r"^\s*values in \((\w+)\) must exist in ([\w.]+) \((\w+)\)\s*$")
 
 

@@ -17,7 +17,6 @@ SEVERITY_WEIGHT = {"fail": 2, "warn": 1, "info": 0}
 TREND_ROWS, TREND_RECENT, TREND_MARGIN = 10, 5, 0.3
 MIN_WINDOW, MAX_WINDOW, DOUBLING_SCORE = 60, 480, 25.0
 THROTTLE_THRESHOLD = 10
-HISTORY_LIMIT = 200
 SPANS = {"count_1h": 3600, "count_24h": 24 * 3600, "count_7d": 7 * 24 * 3600}
 
 
@@ -97,5 +96,5 @@ def reset(noise: DataFrame, table: str, alert_type: str, as_of: datetime | str)
 
 
 def alert_history(log: DataFrame, table: str, alert_type: str, limit: int = 50) -> DataFrame:
-    rows = newest(log, "sent_at", min(limit, HISTORY_LIMIT), (F.col("table_name") == table) & (F.col("alert_type") == alert_type))
+    rows = newest(log, "sent_at", limit, (F.col("table_name") == table) & (F.col("alert_type") == alert_type))
     return rows.select("id", "channel", "severity", "sent_at", "success", "message")
