@@ -6,7 +6,7 @@ signature. Texts that share a band of the signature are candidates; each is chec
 leader of the bucket a round, with other leaders in later rounds, and linked from a similarity of 0.8 on.
 Classes are the connected components of the links.
 
-Texts of equal words are one node from the start. Null texts and texts without words stay alone. Repeated
+Texts of equal words (a 64-bit hash of them) are one node from the start. Null texts and texts without words stay alone. Repeated
 rows and rows with a null id get a class like all others; ``class_id`` is the smallest id of the class,
 null if it has none. Other columns are not read.
 """
@@ -107,7 +107,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     band_count: int = 28, band_rows: int = 5, rounds: int = 3) -> DataFrame:
     """One row per document: id, ``class_id``, ``n_shingles``."""
     words = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")), "^ | $", "")
-    base = docs.select(F.col(f"`{id_column}`").alias("id"), F.md5(words.cast("binary")).alias("key"), F.col(f"`{text_column}`").alias("t"))
+    base = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(words).alias("key"), F.col(f"`{text_column}`").alias("t"))
     kind = base.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +122,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(element.view(np.int64)))], names=["key", "s"])
 
-    signed = cut_lineage(base.mapInArrow(sign, f"id {kind}, key string, n_shingles long, h array<bigint>"))
+    signed = cut_lineage(base.mapInArrow(sign, f"id {kind}, key long, n_shingles long, h array<bigint>"))
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.first("h").alias("h"))
     member = cut_lineage(nodes.select("key", F.explode("h").alias("bucket")))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     member = cut_lineage(member.join(shared, "bucket"))
     wanted = cut_lineage(member.select("key").distinct())
     some = base.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    content = cut_lineage(some.mapInArrow(sets, "key string, s array<bigint>"))
+    content = cut_lineage(some.mapInArrow(sets, "key long, s array<bigint>"))
     label = wanted.select("key", F.col("key").alias("comp"))
     links = None
     tried = None
