@@ -31,6 +31,7 @@ MARK = "▁"
 WORD = re.compile(r" +[^ ]*|[^ ]+")
 BLOCK_WORDS = 1 << 18
 STEP = np.uint64(0x9E3779B97F4A7C15)
+SLOT_SHIFT = np.uint64(44)
 _MODEL: dict = {}
 
 
@@ -61,7 +62,9 @@ class Lattice:
             room = at + length <= stop[at]
             at, h = at[room], h[room]
             h = mix(h + code[at + (length - 1)] * C1)
-            place = np.minimum(np.searchsorted(model.prefix, h), len(model.prefix) - 1)
+            place = model.slot[h >> SLOT_SHIFT]
+            for _ in range(model.fullest):
+                place += model.prefix[place] < h
             known = model.prefix[place] == h
             at, h, piece = at[known], h[known], model.piece[place[known]]
             whole = piece >= 0
@@ -150,7 +153,11 @@ class Pieces:
             own = size > k
             h[own] = mix(h[own] + code[first[own] + k] * C1)
         order = np.argsort(h)
-        self.prefix, self.piece = h[order], np.fromiter(found.values(), np.int64, len(found))[order]
+        self.prefix = np.append(h[order], np.uint64(2**64 - 1))
+        self.piece = np.append(np.fromiter(found.values(), np.int64, len(found))[order], -1)
+        # where the hashes of equal leading bits begin, and the most of them
+        self.slot = np.searchsorted(self.prefix[:-1], np.arange(1 << 20, dtype=np.uint64) << SLOT_SHIFT)
+        self.fullest = int(np.diff(np.append(self.slot, len(texts))).max())
 
     def spelling(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces of each code point, points x 4, and how many there are."""
