@@ -52,10 +52,10 @@ class Lattice:
         self.last = np.cumsum(size) - 1
         begins = self.last + 1 - size
         n = len(code)
-        stop = np.repeat(self.last + 1, size)
+        stop = np.repeat((self.last + 1).astype(np.int32), size)
         level = np.arange(n) - np.repeat(begins, size)
 
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+        at, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
         starts, ends, symbols = [], [], []
         single = np.zeros(n, bool)
         for length in range(1, model.longest + 1):
@@ -81,10 +81,13 @@ class Lattice:
         symbol = np.concatenate([*symbols, code[spelled].astype(np.int64) + len(model.weight)])
         weight = np.concatenate([model.weight[np.concatenate(symbols)], model.spelling_weight(code[spelled])])
 
-        order = np.argsort(level, kind="stable")
+        # levels of 16 bits are sorted by radix, and the ends come as a few ascending runs
+        depth = level.astype(np.uint16) if level.max(initial=0) < 1 << 16 else level
+        order = np.argsort(depth, kind="stable")
         self.rank = np.empty(n, np.int64)
         self.rank[order] = np.arange(n)
-        by = np.argsort(self.rank[end], kind="stable")
+        by = np.argsort(end, kind="stable")
+        by = by[np.argsort(depth[end[by]], kind="stable")]
         start, end, weight, self.symbol = start[by], end[by], weight[by], symbol[by]
         self.back = np.where(level[start] > 0, start - 1, -1)
         row = self.rank[end]
