@@ -10,8 +10,12 @@ columns are not read; of an empty table the result is empty.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +27,66 @@ from pyspark.sql import types as T
 from tablewarden.llm.words import chunks
 from tablewarden.session import cut_lineage
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
+RUN = re.compile(r"[^\t-\r ]+")
+# Fixed value: the pattern by which the tokenizer file parts words.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same on printable ASCII and accented Latin letters in lower case, whose lower and composed forms are certain.
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ſ]+")
+NOT_PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-įı-ſ]")
+# How byte-level vocabularies write bytes: printable ones as themselves, the others from code point 256 on.
+BYTE_CHARS = [chr(b) if 33 <= b < 127 or 161 <= b < 173 or b > 173 else "" for b in range(256)]
+BYTE_CHARS = [c or chr(256 + BYTE_CHARS[:b].count("")) for b, c in enumerate(BYTE_CHARS)]
 _STATE: dict = {}
 
 
+def _load(path: str) -> None:
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = False
+    said = json.loads(tokenizer.to_str())
+    steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [])
+    plain = ([n["type"] for n in (said["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+             and [n["type"] for n in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SPLIT}
+             and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"])
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    _STATE.update(path=path, tokenizer=tokenizer, model=tokenizer.model, plain=plain, cache={}, special=special)
+
+
+def _parts(text: str, plain: bool) -> list[str]:
+    """Parts of a text that are encoded each alone: words as the tokenizer parts them, in plain text; else
+    runs without white space, which the tokenizer drops."""
+    if not plain:
+        return RUN.findall(text)
+    if not NOT_PLAIN.search(text):
+        return PLAIN_SPLIT.findall(text.lower())
+    parts = []
+    for run in RUN.findall(text):
+        if NOT_PLAIN.search(run):
+            parts.append(run)
+        else:
+            parts.extend(PLAIN_SPLIT.findall(run.lower()))
+    return parts
+
+
 def encode(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """Little-endian 32-bit ids. The tokenizer drops white space, so each run without it is encoded alone, once."""
+    """Little-endian 32-bit ids and the closing id. Each distinct part of the texts is encoded once."""
     if _STATE.get("path") != path:
-        from tokenizers import Tokenizer
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = False
-        _STATE.update(path=path, tokenizer=tokenizer, cache={})
-    cache, tokenizer = _STATE["cache"], _STATE["tokenizer"]
-    # A special token's string in a text is one id wherever it stands; such texts are encoded whole.
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        _load(path)
+    cache, tokenizer, model, plain = (_STATE[k] for k in ("cache", "tokenizer", "model", "plain"))
     if len(cache) > CACHED_WORDS:
         cache.clear()
-    out, words = [], [t.encode().split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in cache})
-    for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-        cache[w] = np.array(e.ids, "<u4").tobytes()
     closing = np.array([end_id], "<u4").tobytes()
-    for text, ws in zip(texts, words):
-        if any(s in text for s in special):
-            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    # A special token's string in a text is one id wherever it stands; such texts are encoded whole.
+    parts = [None if any(s in text for s in _STATE["special"]) else _parts(text, plain) for text in texts]
+    for part in set(chain.from_iterable(p for p in parts if p)).difference(cache):
+        if plain and not NOT_PLAIN.search(part):
+            ids = [t.id for t in model.tokenize(part if part.isascii() else "".join(map(BYTE_CHARS.__getitem__, part.encode())))]
         else:
-            ids = b"".join(map(cache.__getitem__, ws))
-        out.append(ids + closing)
-    return out
+            ids = tokenizer.encode(part, add_special_tokens=False).ids
+        cache[part] = struct.pack(f"<{len(ids)}I", *ids)
+    return [(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if own is None
+             else b"".join(map(cache.__getitem__, own))) + closing for text, own in zip(texts, parts)]
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
