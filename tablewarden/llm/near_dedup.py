@@ -2,9 +2,12 @@
 
 A document is its set of five-word shingles (its whole word sequence, if shorter). Each shingle throws
 hashed darts into the cells of a weight-by-rank plane; the earliest dart of each coordinate is the
-signature. Texts that share a band of the signature are candidates; each is checked exactly against one
-leader of the bucket a round, with other leaders in later rounds, and linked from a similarity of 0.8 on.
-Classes are the connected components of the links.
+signature. Texts that share a band of the signature are candidates and are linked from a similarity of 0.8
+on; classes are the connected components of the links. In the first round each is compared with one leader
+of the bucket. From then on the members outside a bucket's largest class lead in turn, and meet all members
+of other classes, until each of them has led: no candidate pair of two classes is left out, and pairs within
+a class are not made. Sets are compared by 32-bit hashes, which lets a similarity be off by one shingle in
+about one pair of 10,000 (of 600 shingles each).
 
 Texts of equal words (a 64-bit hash of them) are one node from the start. Null texts and texts without words stay alone. Repeated
 rows and rows with a null id get a class like all others; ``class_id`` is the smallest id of the class,
@@ -104,7 +107,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.8,
-                    band_count: int = 28, band_rows: int = 5, rounds: int = 3) -> DataFrame:
+                    band_count: int = 28, band_rows: int = 5) -> DataFrame:
     """One row per document: id, ``class_id``, ``n_shingles``."""
     words = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")), "^ | $", "")
     base = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(words).alias("key"), F.col(f"`{text_column}`").alias("t"))
@@ -119,8 +122,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             doc, element, _ = shingles(Texts(batch.column("t")))
-            cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(element.view(np.int64)))], names=["key", "s"])
+            short = np.unique((doc.astype(np.uint64) << np.uint64(32)) + (element >> np.uint64(32)))
+            cuts = np.searchsorted(short >> np.uint64(32), np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(short.astype(np.uint32).view(np.int32)))], names=["key", "s"])
 
     signed = cut_lineage(base.mapInArrow(sign, f"id {kind}, key long, n_shingles long, h array<bigint>"))
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.first("h").alias("h"))
@@ -129,25 +133,43 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     member = cut_lineage(member.join(shared, "bucket"))
     wanted = cut_lineage(member.select("key").distinct())
     some = base.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    content = cut_lineage(some.mapInArrow(sets, "key long, s array<bigint>"))
+    content = cut_lineage(some.mapInArrow(sets, "key long, s array<int>"))
     label = wanted.select("key", F.col("key").alias("comp"))
-    links = None
-    tried = None
-    for r in range(rounds):
-        leaders = member.groupBy("bucket").agg(F.min_by("key", F.xxhash64("key", F.lit(r))).alias("b"))
-        pairs = member.join(leaders, "bucket").where("key != b").select(F.col("key").alias("a"), "b").distinct()
-        if tried is not None:
+    tried = led = None
+    width = 1
+    while True:
+        if led is None:
+            met = member.groupBy("bucket").agg(F.min_by("key", F.xxhash64("key")).alias("b"))
+            pairs = member.join(met, "bucket").where("key != b").select(F.col("key").alias("a"), "b").distinct()
+        else:
+            held = member.join(label, "key")
+            sizes = held.groupBy("bucket", "comp").count()
+            open_ = cut_lineage(sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n"))
+            held = cut_lineage(held.join(open_, "bucket"))
+            outside = held.where("comp != main").join(led, ["bucket", "key"], "left_anti")
+            width *= 4
+            turn = F.xxhash64("key", F.lit(width))
+            met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb")), turn).alias("x"))
+            met = cut_lineage(met.select("bucket", "x.b", "x.cb"))
+            if met.isEmpty():
+                break
+            pairs = held.join(met, "bucket").where("comp != cb").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = pairs.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca != cb").select("a", "b")
-        pairs = cut_lineage(pairs)
-        if pairs.isEmpty():
-            break
+        leads = met.select("bucket", F.col("b").alias("key"))
+        led = leads if led is None else led.union(leads)
+        led = cut_lineage(led)
+        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         tried = pairs if tried is None else tried.union(pairs)
         checked = pairs.join(content.toDF("a", "sa"), "a").join(content.toDF("b", "sb"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
-        good = cut_lineage(checked.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-        links = good if links is None else links.union(good)
-        label = components(wanted, links)
+        good = checked.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+        # links between the classes so far
+        good = good.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca != cb")
+        good = cut_lineage(good.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if not good.isEmpty():
+            ends = good.select(F.col("a").alias("key")).union(good.select("b")).distinct()
+            joined = components(ends, good).toDF("comp", "whole")
+            label = cut_lineage(label.join(joined, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp")))
     thin = signed.select("id", "n_shingles", "key").join(label, "key", "left")
     # texts without words stay alone: each is a class of its own id
     thin = thin.withColumn("comp", F.coalesce("comp", "key"))
