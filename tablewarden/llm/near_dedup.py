@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             open_ = cut_lineage(sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n"))
             held = cut_lineage(held.join(open_, "bucket"))
             outside = held.where("comp != main").join(led, ["bucket", "key"], "left_anti")
-            width *= 4
+            width *= 32
             turn = F.xxhash64("key", F.lit(width))
             met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb")), turn).alias("x"))
             met = cut_lineage(met.select("bucket", "x.b", "x.cb"))
