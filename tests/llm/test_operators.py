@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.llm import backoff_lm, langid, near_dedup, queries, toxicity
 from tablewarden.llm.license_scan import scan
-from tablewarden.llm.packing import first_fit_decreasing, pack
+from tablewarden.llm.packing import encode, first_fit_decreasing, pack
 from tablewarden.llm.piece_sampling import Pieces, sample_pieces
 from tablewarden.llm.repetition import repetition
 from tablewarden.llm.top_products import top_products
@@ -143,3 +143,30 @@ def test_pieces_are_lossless():
         ids = model.sample(text, 7, 1)
         assert model.decode(ids) == text and ids == model.sample(text, 7, 1)
     assert len({tuple(model.sample("reproducible", k, 1)) for k in range(50)}) > 1
+
+
+def test_parts_of_texts_encode_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    plain = [chr(c) for c in [*range(32, 127), *range(0xC0, 0x180)]]
+    for text in ["", " ", "it's I'LL 'S don''t 12ab3", "é É̀ x́", "\x00\x1c a b\x85c", "<|endoftext|> x<|startoftext|>y",
+                 "İK ﬁ中文字 日本", "a\x7fb ~~--'t'\r\n\tx\x0by", *plain, *(f"a{c}B'{c} 1{c}" for c in plain)]:
+        ids = np.frombuffer(encode([text], path, 2)[0], "<u4").tolist()
+        assert ids == [*whole.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_pieces_are_sampled_by_weight():
+    model = Pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.5)
+
+    def ways(rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in model.ids:
+                yield from ((model.ids[rest[:k]], *more) for more in ways(rest[k:]))
+
+    odds = {w: np.exp(sum(model.weight[i] for i in w)) for w in ways(" thes")}
+    got = Counter(tuple(x.tolist()) for x in model.sample_texts(["thes"] * 20_000, list(range(20_000)), 3))
+    assert set(got) <= set(odds)
+    assert all(abs(got[w] / 20_000 - v / sum(odds.values())) < 0.015 for w, v in odds.items())
