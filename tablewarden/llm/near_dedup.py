@@ -92,10 +92,10 @@ def bands(column: pa.Array, count: int, rows: int) -> tuple[np.ndarray, np.ndarr
     return h, np.bincount(doc, minlength=texts.docs)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``key``, ``comp``: the least key reachable over links ``a``, ``b``. Labels jump, so rounds are logarithmic in practice."""
-    both = cut_lineage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    label = cut_lineage(nodes.select("key", F.col("key").alias("comp")))
+def components(links: DataFrame) -> DataFrame:
+    """``key``, ``comp``: for each end of a link ``a``, ``b`` the least key reachable. Labels jump, so rounds are logarithmic in practice."""
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("key"), F.least("a", "b").alias("comp")))
     while True:
         near = both.join(label, both.b == label.key).groupBy("a").agg(F.min("comp").alias("seen"))
         step = label.join(near, label.key == near.a, "left").select("key", "comp", F.least("comp", "seen").alias("low"))
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = cut_lineage(member.select("key").distinct())
     some = base.join(wanted, "key", "left_semi").dropDuplicates(["key"])
     content = cut_lineage(some.mapInArrow(sets, "key long, s array<int>"))
-    label = wanted.select("key", F.col("key").alias("comp"))
+    label = cut_lineage(content.select("key", F.col("key").alias("comp"), F.size("s").alias("n")))
     tried = led = None
     width = 1
     while True:
@@ -144,32 +144,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         else:
             held = member.join(label, "key")
             sizes = held.groupBy("bucket", "comp").count()
-            open_ = cut_lineage(sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1").drop("n"))
+            open_ = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
             held = cut_lineage(held.join(open_, "bucket"))
             outside = held.where("comp != main").join(led, ["bucket", "key"], "left_anti")
             width *= 32
             turn = F.xxhash64("key", F.lit(width))
-            met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb")), turn).alias("x"))
-            met = cut_lineage(met.select("bucket", "x.b", "x.cb"))
+            met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")), turn).alias("x"))
+            met = cut_lineage(met.select("bucket", "x.*"))
             if met.isEmpty():
                 break
-            pairs = held.join(met, "bucket").where("comp != cb").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+            # sets whose sizes differ by more cannot be that similar
+            alike = F.least("n", "nb") >= F.lit(similarity) * F.greatest("n", "nb")
+            pairs = held.join(met, "bucket").where("comp != cb").where(alike).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         leads = met.select("bucket", F.col("b").alias("key"))
-        led = leads if led is None else led.union(leads)
-        led = cut_lineage(led)
+        led = cut_lineage(leads) if led is None else led.union(leads)
         pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         tried = pairs if tried is None else tried.union(pairs)
         checked = pairs.join(content.toDF("a", "sa"), "a").join(content.toDF("b", "sb"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         good = checked.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
         # links between the classes so far
-        good = good.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca != cb")
+        good = good.join(label.select("key", "comp").toDF("a", "ca"), "a").join(label.select("key", "comp").toDF("b", "cb"), "b").where("ca != cb")
         good = cut_lineage(good.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         if not good.isEmpty():
-            ends = good.select(F.col("a").alias("key")).union(good.select("b")).distinct()
-            joined = components(ends, good).toDF("comp", "whole")
-            label = cut_lineage(label.join(joined, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp")))
+            joined = components(good).toDF("comp", "whole")
+            label = cut_lineage(label.join(joined, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp"), "n"))
     thin = signed.select("id", "n_shingles", "key").join(label, "key", "left")
     # texts without words stay alone: each is a class of its own id
     thin = thin.withColumn("comp", F.coalesce("comp", "key"))
