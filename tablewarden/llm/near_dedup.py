@@ -3,11 +3,13 @@
 A document is its set of five-word shingles (its whole word sequence, if shorter). Each shingle throws
 hashed darts into the cells of a weight-by-rank plane; the earliest dart of each coordinate is the
 signature. Texts that share a band of the signature are candidates and are linked from a similarity of 0.8
-on; classes are the connected components of the links. In the first round each is compared with one leader
-of the bucket. From then on the members outside a bucket's largest class lead in turn, and meet all members
-of other classes, until each of them has led: no candidate pair of two classes is left out, and pairs within
-a class are not made. Sets are compared by 32-bit hashes, which lets a similarity be off by one shingle in
-about one pair of 10,000 (of 600 shingles each).
+on; classes are the connected components of the links. First each is compared with one leader of its bucket.
+Buckets that still hold two classes are then split by the members' rarest shingles, of which two texts so similar
+share one: texts that only share a frequent passage do not meet. In these groups the members outside the
+largest class lead in turn, and meet all members of other classes, until each of them has led: no pair of two
+classes that share a band is left out, and pairs within a class are not made. Before a pair is made, sizes and
+512 parity bits of the sets give bounds of their difference. Sets are compared by 32-bit
+hashes, which lets a similarity be off by one shingle in about one pair of 10,000 (of 600 shingles each).
 
 Texts of equal words (a 64-bit hash of them) are one node from the start. Null texts and texts without words stay alone. Repeated
 rows and rows with a null id get a class like all others; ``class_id`` is the smallest id of the class,
@@ -27,6 +29,7 @@ from tablewarden.llm.words import Texts, chunks, mix, ngrams
 from tablewarden.session import cut_lineage
 
 SHINGLE = 5
+PARITIES = 512
 POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880)])
 
 
@@ -106,6 +109,57 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def rare_shingles(content: DataFrame, similarity: float, bins: int = 1 << 18) -> DataFrame:
+    """``bucket``, ``key``: of each set the rarest shingles, as many as two sets so similar cannot both miss.
+
+    Rarity is counted over all sets given, by hash bin: the table of counts has a fixed size.
+    """
+    counted = content.select(F.explode("s").alias("e")).groupBy(F.pmod("e", F.lit(bins)).alias("bin")).count().collect()  # at most ``bins`` rows
+    counts = np.zeros(bins, np.int64)
+    counts[[r[0] for r in counted]] = [r[1] for r in counted]
+    held = content.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("s")
+            sizes = np.diff(column.offsets.to_numpy())
+            element = column.flatten().to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((element, held.value[element % bins], doc))
+            wanted = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = order[rank < wanted[doc]]
+            yield pa.RecordBatch.from_arrays([pa.array(element[kept]), batch.column("key").take(pa.array(doc[kept]))], names=["bucket", "key"])
+
+    return content.mapInArrow(first, "bucket long, key long")
+
+
+def unsettled(member: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their classes, and the largest class of each bucket that has two or more."""
+    held = member.join(label, "key")
+    sizes = held.groupBy("bucket", "comp").count()
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("classes"))
+    return held, main.where("classes > 1").drop("classes")
+
+
+def linked(pairs: DataFrame, content: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: classes that a pair of sets so similar links."""
+    checked = pairs.join(content.toDF("a", "sa"), "a").join(content.toDF("b", "sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    good = checked.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    of = label.select("key", "comp")
+    good = good.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca != cb")
+    return cut_lineage(good.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+
+
+def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` with linked classes made one."""
+    if links.isEmpty():
+        return label
+    whole = components(links).toDF("comp", "whole")
+    return cut_lineage(label.join(whole, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp"), "n", "f"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.8,
                     band_count: int = 28, band_rows: int = 5) -> DataFrame:
     """One row per document: id, ``class_id``, ``n_shingles``."""
@@ -124,7 +178,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             doc, element, _ = shingles(Texts(batch.column("t")))
             short = np.unique((doc.astype(np.uint64) << np.uint64(32)) + (element >> np.uint64(32)))
             cuts = np.searchsorted(short >> np.uint64(32), np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(short.astype(np.uint32).view(np.int32)))], names=["key", "s"])
+            # parity of each hash bit: sets of difference d differ in d bits or fewer
+            odd = np.bincount((short >> np.uint64(32)).astype(np.int64) * PARITIES + (short % np.uint64(PARITIES)).astype(np.int64), minlength=batch.num_rows * PARITIES) & 1
+            marks = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(short.astype(np.uint32).view(np.int32))),
+                                              pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, PARITIES // 64), pa.int32()), pa.array(marks))], names=["key", "s", "f"])
 
     signed = cut_lineage(base.mapInArrow(sign, f"id {kind}, key long, n_shingles long, h array<bigint>"))
     nodes = signed.where("n_shingles > 0").groupBy("key").agg(F.first("h").alias("h"))
@@ -133,43 +191,40 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     member = cut_lineage(member.join(shared, "bucket"))
     wanted = cut_lineage(member.select("key").distinct())
     some = base.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    content = cut_lineage(some.mapInArrow(sets, "key long, s array<int>"))
-    label = cut_lineage(content.select("key", F.col("key").alias("comp"), F.size("s").alias("n")))
-    tried = led = None
-    width = 1
+    content = cut_lineage(some.mapInArrow(sets, "key long, s array<int>, f array<bigint>"))
+    label = cut_lineage(content.select("key", F.col("key").alias("comp"), F.size("s").alias("n"), "f"))
+    content = content.select("key", "s")
+    met = member.groupBy("bucket").agg(F.min_by("key", F.xxhash64("key")).alias("b"))
+    pairs = member.join(met, "bucket").where("key != b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+    tried = cut_lineage(pairs.distinct())
+    label = joined(label, linked(tried, content, label, similarity))
+    held, open_ = unsettled(member, label)
+    left = held.join(open_, "bucket").select("key").distinct()
+    member = cut_lineage(rare_shingles(cut_lineage(content.join(left, "key", "left_semi")), similarity))
+    shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    member = cut_lineage(member.join(shared, "bucket"))
+    led, width = None, 1
     while True:
-        if led is None:
-            met = member.groupBy("bucket").agg(F.min_by("key", F.xxhash64("key")).alias("b"))
-            pairs = member.join(met, "bucket").where("key != b").select(F.col("key").alias("a"), "b").distinct()
-        else:
-            held = member.join(label, "key")
-            sizes = held.groupBy("bucket", "comp").count()
-            open_ = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-            held = cut_lineage(held.join(open_, "bucket"))
-            outside = held.where("comp != main").join(led, ["bucket", "key"], "left_anti")
-            width *= 32
-            turn = F.xxhash64("key", F.lit(width))
-            met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")), turn).alias("x"))
-            met = cut_lineage(met.select("bucket", "x.*"))
-            if met.isEmpty():
-                break
-            # sets whose sizes differ by more cannot be that similar
-            alike = F.least("n", "nb") >= F.lit(similarity) * F.greatest("n", "nb")
-            pairs = held.join(met, "bucket").where("comp != cb").where(alike).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        held, open_ = unsettled(member, label)
+        held = cut_lineage(held.join(open_, "bucket"))
+        outside = held.where("comp != main")
+        if led is not None:
+            outside = outside.join(led, ["bucket", "key"], "left_anti")
+        width *= 32
+        turn = F.xxhash64("key", F.lit(width))
+        met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("f").alias("fb")), turn).alias("x"))
+        met = cut_lineage(met.select("bucket", "x.*"))
+        if met.isEmpty():
+            break
         leads = met.select("bucket", F.col("b").alias("key"))
-        led = cut_lineage(leads) if led is None else led.union(leads)
-        pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        tried = pairs if tried is None else tried.union(pairs)
-        checked = pairs.join(content.toDF("a", "sa"), "a").join(content.toDF("b", "sb"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        good = checked.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-        # links between the classes so far
-        good = good.join(label.select("key", "comp").toDF("a", "ca"), "a").join(label.select("key", "comp").toDF("b", "cb"), "b").where("ca != cb")
-        good = cut_lineage(good.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        if not good.isEmpty():
-            joined = components(good).toDF("comp", "whole")
-            label = cut_lineage(label.join(joined, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp"), "n"))
+        led = leads if led is None else led.union(leads)
+        # sets whose sizes or parities differ by more cannot be that similar
+        apart = sum(F.bit_count(F.col("f")[k].bitwiseXOR(F.col("fb")[k])) for k in range(PARITIES // 64))
+        alike = (F.least("n", "nb") >= F.lit(similarity) * F.greatest("n", "nb")) & (apart <= (F.col("n") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+        pairs = held.join(met, "bucket").where("comp != cb").where(alike).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+        pairs = cut_lineage(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
+        label = joined(label, linked(pairs, content, label, similarity))
     thin = signed.select("id", "n_shingles", "key").join(label, "key", "left")
     # texts without words stay alone: each is a class of its own id
     thin = thin.withColumn("comp", F.coalesce("comp", "key"))

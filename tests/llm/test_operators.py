@@ -63,6 +63,28 @@ def test_near_duplicates_are_components(docs):
     assert got == [("1", "1"), ("2", "1"), ("3", "3"), ("4", "4"), ("5", "5"), ("5", "5"), ("6", "6"), ("None", "None")]
 
 
+def test_borderline_copies_link_as_by_brute_force(spark):
+    queries.table(spark, SF, "region")
+    rng = np.random.default_rng(5)
+    passage, rows = [f"p{i}" for i in range(80)], []
+    for family in range(6):
+        root = [f"f{family}w{i}" for i in range(100)]
+        for _ in range(25):
+            own = list(root)
+            for at in rng.choice(100, rng.integers(0, 7), replace=False):
+                own[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(own + passage)))
+    grams = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and want[a] != want[b]:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = [new if w == old else w for w in want]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == want and len(set(want)) > 6
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     element = rng.integers(0, 2**63, 400).astype(np.uint64)
