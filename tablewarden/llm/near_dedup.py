@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.llm.words import Texts, chunks, mix, ngrams
@@ -160,11 +160,19 @@ def joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(label.join(whole, "comp", "left").select("key", F.coalesce("whole", "comp").alias("comp"), "n", "f"))
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of the text's words."""
+    return F.xxhash64(F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")), "^ | $", ""))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = 0.8,
-                    band_count: int = 28, band_rows: int = 5) -> DataFrame:
-    """One row per document: id, ``class_id``, ``n_shingles``."""
-    words = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")), "^ | $", "")
-    base = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(words).alias("key"), F.col(f"`{text_column}`").alias("t"))
+                    band_count: int = 28, band_rows: int = 5, keys: bool = False) -> DataFrame:
+    """One row per document: id, ``class_id``, ``n_shingles``.
+
+    With ``keys`` also ``text_key`` and ``class_key``, which tell texts and classes apart whatever the ids are.
+    """
+    text = F.col(f"`{text_column}`")
+    base = docs.select(F.col(f"`{id_column}`").alias("id"), text_key(text).alias("key"), text.alias("t"))
     kind = base.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,4 +238,5 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     thin = thin.withColumn("comp", F.coalesce("comp", "key"))
     classes = thin.where("n_shingles > 0").groupBy("comp").agg(F.min("id").alias("class_id"))
     return (thin.join(classes, "comp", "left")
-            .select(F.col("id").alias(id_column), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "n_shingles"))
+            .select(F.col("id").alias(id_column), F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), "n_shingles",
+                    *([F.col("key").alias("text_key"), F.col("comp").alias("class_key")] if keys else [])))
