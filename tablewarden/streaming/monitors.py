@@ -48,6 +48,27 @@ def volume(stream: DataFrame, key: str, ts: str, window: str = "1 day", delay: s
                           F.col("window.end").cast("timestamp_ntz").alias("window_end"), "row_count")
 
 
+def volume_per_batch(stream: DataFrame, key: str, ts: str, path: str, window: str = "1 day") -> StreamingQuery:
+    """Row count per key, window and micro-batch; ``volume_so_far`` adds them up.
+
+    There is no watermark and no state: open windows are there from the first batch on, and a row counts
+    however late it comes. Each batch overwrites its own folder, so a batch that is run again replaces itself.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        counted = batch.withColumn(ts, F.col(ts).cast("timestamp_ntz")).groupBy(F.window(ts, window), F.col(key).alias("table_name"))
+        counted = counted.agg(F.count(F.lit(1)).alias("row_count"), F.max(ts).alias("last_at"))
+        counted.select("table_name", F.col("window.start").alias("recorded_at"), F.col("window.end").alias("window_end"),
+                       "row_count", "last_at").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint")
+            .trigger(availableNow=True).start())
+
+
+def volume_so_far(parts: DataFrame) -> DataFrame:
+    """Row count per key and window over all batches, with the newest time seen in it."""
+    return parts.groupBy("table_name", "recorded_at", "window_end").agg(F.sum("row_count").alias("row_count"), F.max("last_at").alias("last_at"))
+
+
 def newest_per_batch(stream: DataFrame, key: str, ts: str, path: str) -> StreamingQuery:
     """Newest timestamp per key and micro-batch, appended; freshness is the maximum over the rows.
 

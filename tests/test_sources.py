@@ -159,6 +159,20 @@ def test_streaming_volume_emits_closed_windows_once(spark, event_files):
     assert got == values(closed, "table_name", "recorded_at", "row_count")
 
 
+def test_streaming_volume_has_open_windows_and_late_rows(spark):
+    root = folder()
+    times = [["2024-01-05 10:00:00"], ["2024-01-01 09:00:00", "2024-01-05 11:00:00"], ["2024-01-01 08:00:00", "2024-01-06 01:00:00"]]
+    for at in times:
+        small_frame(spark, [("t", x) for x in at], "k string, x string").select("k", F.col("x").cast("timestamp_ntz").alias("ts")).coalesce(1).write.mode("append").parquet(root)
+    stream = ST.open_files(spark, root, "k string, ts timestamp_ntz", pattern="*.parquet", files_per_batch=1)
+    path = folder()
+    ST.volume_per_batch(stream, "k", "ts", path).awaitTermination()
+    parts = spark.read.parquet(f"{path}/rows")
+    assert parts.select("batch").distinct().count() == 3
+    got = values(ST.volume_so_far(parts).withColumn("day", F.dayofmonth("recorded_at")), "day", "row_count")
+    assert got == [(1, 2), (5, 2), (6, 1)]
+
+
 def test_streaming_freshness_over_batches(spark, event_files):
     root, events = event_files
     path = folder()
