@@ -93,7 +93,7 @@ def detect_backfill(watch: BackfillWatch, as_of: datetime | str, window_days: in
                     sample_rows: int = BACKFILL_ROWS) -> DataFrame:
     """Are the newest rows of a table mostly old ones?
 
-    Everything asked about the newest 10,000 non-null timestamps follows from three counts and
+    Everything asked about the newest ``sample_rows`` non-null timestamps follows from three counts and
     from the timestamp at that rank, so the rows themselves are never sorted or gathered.
     """
     ts = F.col(watch.timestamp_column)
@@ -119,20 +119,23 @@ def detect_backfill(watch: BackfillWatch, as_of: datetime | str, window_days: in
 
 
 def gate_backfills(checked: DataFrame, watches: Sequence[BackfillWatch], as_of: datetime | str,
-                   window_days: int = WINDOW_DAYS) -> DataFrame:
+                   window_days: int = WINDOW_DAYS, sample_rows: int | None = None) -> DataFrame:
     """An anomaly explained by a backfill stops being an anomaly and becomes an ``info`` event.
 
-    Only the tables that are anomalous now are inspected: their names (at most one per
-    configured table) are the only thing fetched. The checked rows are written once, so the
+    As many of the newest rows are looked at as the spike has, 10,000 at least, or ``sample_rows`` if given.
+    Only the tables that are anomalous now are inspected: their names and spikes (at most one
+    per configured table) are the only thing fetched. The checked rows are written once, so the
     tables behind them are not counted again.
     """
     checked = cut_lineage(checked)
     watched = {w.table: w for w in watches}
-    flagged = [r["table_name"] for r in checked.filter(
-        F.col("is_anomaly") & F.col("table_name").isin(*watched)).select("table_name").collect()] if watched else []
+    spike = F.ceil(F.col("row_count") - F.col("rolling_avg")).cast("bigint")
+    flagged = checked.filter(F.col("is_anomaly") & F.col("table_name").isin(*watched)).select(
+        "table_name", spike.alias("spike")).collect() if watched else []
     found = None
-    for name in flagged:
-        one = detect_backfill(watched[name], as_of, window_days)
+    for name, rows in flagged:
+        size = max(rows, BACKFILL_ROWS) if sample_rows is None else sample_rows
+        one = detect_backfill(watched[name], as_of, window_days, size)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = small_frame(checked.sparkSession, [], "table_name string, sample_size bigint, "

@@ -62,7 +62,7 @@ def _backfill(t, c, as_of):
 
 @query("backfill_detect", _backfill("lineitem", "l_shipdate", ORDERS_AS_OF))
 def backfill_detect(spark, sf):
-    return O.detect_backfill(O.BackfillWatch("lineitem", table(spark, sf, "lineitem"), "l_shipdate"), ORDERS_AS_OF)
+    return O.detect_backfill(O.BackfillWatch("lineitem", table(spark, sf, "lineitem"), "l_shipdate"), ORDERS_AS_OF, sample_rows=10_000)
 
 
 GATED = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
@@ -90,7 +90,7 @@ def volume_backfill_gate(spark, sf):
             F.lit(t).alias("table_name"), F.col("d").cast("timestamp_ntz").alias("recorded_at"), "row_count")
         daily = part if daily is None else daily.unionByName(part)
     checked = O.check(row_counts(tables), daily, ORDERS_AS_OF, thresholds={"orders": 1e12})
-    gated = O.gate_backfills(checked, [O.BackfillWatch(t, tables[t], c) for t, c in GATED.items()], ORDERS_AS_OF)
+    gated = O.gate_backfills(checked, [O.BackfillWatch(t, tables[t], c) for t, c in GATED.items()], ORDERS_AS_OF, sample_rows=10_000)
     return gated.drop("sample_size", "oldest_row_ts", "newest_row_ts").withColumns(
         {c: F.round(c, 6) for c in ("rolling_avg", "deviation_pct")})
 

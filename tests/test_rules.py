@@ -294,6 +294,19 @@ def test_backfill_gate(spark):
     assert values(V.backfill_events(gated, AS_OF), "table_name", "row_count", "historical_row_fraction") == [("old", 9, round((400 - 169) / 400, 4))]
 
 
+def test_backfill_larger_than_the_least_sample(spark):
+    # 12,000 rows of today, a second apart, on 28,000 of two months ago that arrived with them
+    day = F.lit(AS_OF).cast("timestamp_ntz")
+    at = F.when(F.col("id") < 12_000, day - F.make_dt_interval(secs=F.col("id").cast("decimal(18,6)"))).otherwise(
+        day - F.make_dt_interval(F.lit(60), secs=F.col("id").cast("decimal(18,6)")))
+    rows = spark.range(40_000).select(at.alias("ts"))
+    checked = small_frame(spark, [("t", 40_000, 7, 1_000.0, 39.0, True)],
+                          "table_name string, row_count bigint, history_points bigint, rolling_avg double, deviation_pct double, is_anomaly boolean")
+    watch = [V.BackfillWatch("t", rows, "ts")]
+    assert values(V.gate_backfills(checked, watch, AS_OF), "is_backfill", "sample_size", "severity") == [(True, 39_000, "info")]
+    assert values(V.gate_backfills(checked, watch, AS_OF, sample_rows=10_000), "is_backfill", "sample_size", "severity") == [(False, 10_000, "warn")]
+
+
 def test_backfill_of_an_empty_table(spark):
     empty = small_frame(spark, [], "ts timestamp_ntz")
     assert V.detect_backfill(V.BackfillWatch("t", empty, "ts"), AS_OF).first()["is_backfill"] is False
