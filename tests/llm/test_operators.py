@@ -127,6 +127,25 @@ def test_licences(docs):
     assert (got[4].n_base, got[4].first_word, got[4].base_labels) == (1, 0, "mit") and got[3].labels == ""
 
 
+def test_licence_wordings(spark):
+    texts = {
+        "Code licensed under the MIT license.": "mit", "It is available under the terms of the GNU General Public License version 3.": "gpl",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software": "mit",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.": "isc",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3": "lgpl",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3": "agpl",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa", "Text licensed under CC BY 4.0, as is": "cc-by",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Distributed under the ISC licence": "isc",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "subject to the terms of the Mozilla Public License, v. 2.0": "mpl", "Licensed under the Apache License, Version 2.0": "apache",
+        "Mozilla Public License is a name, a permission granted is a word, redistribution of wealth": ""}
+    got = {r.doc_id: r.labels for r in scan(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
+    assert got == texts
+
+
 def test_language_model_counts(docs):
     got = backoff_lm.score(docs, F.col("doc_id") == 1).collect()
     counts = Counter()
