@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.llm import backoff_lm, langid, toxicity
+from tablewarden.llm.ball_search import rank_documents
+from tablewarden.llm.hard_negatives import mine
 from tablewarden.llm.license_scan import scan
 from tablewarden.llm.near_dedup import near_duplicates
 from tablewarden.llm.packing import pack
@@ -80,5 +82,54 @@ def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op5_piece_sampling": op5_piece_sampling, "op1_warc_index": op1_warc_index, "op9_top_products": op9_top_products, "op2_backoff_lm": op2_backoff_lm, "op4_langid": op4_langid, "op10_license_scan": op10_license_scan, "op6_near_dedup": op6_near_dedup, "op3_packing": op3_packing, "op7_toxicity": op7_toxicity, "op8_repetition": op8_repetition}
-ORACLES: dict[str, str] = {}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_index, op2_backoff_lm, op3_packing, op4_langid, op5_piece_sampling, op6_near_dedup,
+                                   op7_toxicity, op8_repetition, op9_top_products, op10_license_scan, op11_ranked_search, op12_hard_negatives)}
+
+# Rows that take part in the vector queries, components as integers.
+_VECTORS = """
+whole AS (SELECT vec_id, label, [floor(256 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len([x for x in embedding if x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0)"""
+
+ORACLES: dict[str, str] = {
+    "op9_top_products": f"""
+WITH {_VECTORS},
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score
+           FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_ranked_search": r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counts GROUP BY doc_id),
+corpus AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, corpus GROUP BY term, big_n),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+           FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN sizes USING (doc_id), corpus GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op12_hard_negatives": f"""
+WITH {_VECTORS},
+named AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM whole WHERE label IS NOT NULL),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+           FROM named a JOIN named b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT * FROM (SELECT anchor_id, other_id AS positive_id, score AS positive_score,
+                                    row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place FROM scored WHERE same) WHERE place <= 5),
+negatives AS (SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+                     row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank
+              FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+                                            AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5""",
+}
