@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm import backoff_lm, langid, toxicity
+from tablewarden.llm import backoff_lm, langid, personal_data, toxicity
 from tablewarden.llm.ball_search import rank_documents
 from tablewarden.llm.hard_negatives import mine
 from tablewarden.llm.license_scan import scan
@@ -91,8 +91,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.find(docs, personal_data.train(docs))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_index, op2_backoff_lm, op3_packing, op4_langid, op5_piece_sampling, op6_near_dedup,
-                                   op7_toxicity, op8_repetition, op9_top_products, op10_license_scan, op11_ranked_search, op12_hard_negatives)}
+                                   op7_toxicity, op8_repetition, op9_top_products, op10_license_scan, op11_ranked_search, op12_hard_negatives,
+                                   op13_personal_data)}
 
 # Rows that take part in the vector queries, components as integers.
 _VECTORS = """
