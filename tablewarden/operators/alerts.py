@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.times import before, instant, shift
+from tablewarden.operators.lineage import closure
 from tablewarden.operators.noise import MAX_WINDOW, MIN_WINDOW, PAIR, window_minutes
 from tablewarden.plans.lookups import measured_join
 
@@ -147,8 +148,11 @@ def log_rows(sent: DataFrame, as_of: datetime | str) -> DataFrame:
     ).select("id", "r.*", F.lit(True).alias("success"), instant(as_of).alias("sent_at"))
 
 
-def lineage_impact(tables: DataFrame, edges: DataFrame) -> DataFrame:
-    """Direct downstream tables of each table, sorted; an empty list for a leaf."""
+def lineage_impact(tables: DataFrame, edges: DataFrame, depth: int | None = 1) -> DataFrame:
+    """Downstream tables of each table, sorted; an empty list for a leaf. Direct ones, those up to ``depth`` edges
+    away, or with None all. A table on a cycle is not its own downstream table beyond depth 1."""
+    if depth != 1:
+        edges = closure(edges, depth).where("table_name <> downstream")
     below = edges.groupBy("table_name").agg(F.array_sort(F.collect_set("downstream")).alias("downstream"))
     joined = tables.select("table_name").distinct().join(below, "table_name", "left")
     return joined.select("table_name", F.coalesce("downstream", F.array().cast("array<string>")).alias("downstream"))

@@ -55,6 +55,18 @@ FIXTURES = {
     "lineage_edges": """
         SELECT DISTINCT 'svc_' || CAST(user_id % 10 AS STRING) AS table_name, 'report_' || CAST(user_id % 37 AS STRING) AS downstream
         FROM {events} WHERE event_type = 'view'""",
+    # Alerts of many tables, and links between those: some run in circles.
+    "table_alerts": """
+        SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'tbl_' || CAST(user_id % 300 AS STRING) END AS table_name, event_type AS alert_type,
+               CASE WHEN event_id % 3 = 0 THEN 'fail' WHEN event_id % 3 = 1 THEN 'warn' ELSE 'info' END AS severity, ts AS raised_at
+        FROM {events}""",
+    "table_edges": """
+        SELECT DISTINCT 'tbl_' || CAST(user_id % 300 AS STRING) AS table_name, 'tbl_' || CAST((user_id % 300 * 7 + event_id % 2) % 300 AS STRING) AS downstream
+        FROM {events}""",
+    "model_edges": """
+        SELECT DISTINCT 'model.shop.m' || CAST((user_id % 120 * 7 + 3 + event_id % 2 * 11) % 120 AS STRING) AS table_name,
+               'model.shop.m' || CAST(user_id % 120 AS STRING) AS downstream
+        FROM {events}""",
     "check_history": """
         SELECT event_id AS id, event_type AS table_name, 'chk_' || CAST(user_id % 5 AS STRING) AS check_name,
                value >= 10 AS passed, value AS metric_value, ts AS executed_at
