@@ -341,7 +341,7 @@ def examples(windows: list[tuple[str, list[Span]]], rng: np.random.Generator) ->
     return np.array(x).T.copy(), np.array(y).T.copy()
 
 
-def fit(windows: list[tuple[str, list[Span]]], hidden: int = 12, rounds: int = 14, batch: int = 128, rate: float = 0.02, seed: int = 13) -> Tagger | None:
+def fit(windows: list[tuple[str, list[Span]]], hidden: int = 12, steps: int = 240, batch: int = 128, rate: float = 0.02, seed: int = 13) -> Tagger | None:
     """Adam on batches of windows; None without labelled windows."""
     rng = np.random.default_rng(seed)
     if not any(spans for _, spans in windows):
@@ -349,21 +349,20 @@ def fit(windows: list[tuple[str, list[Span]]], hidden: int = 12, rounds: int = 1
     x, y = examples(windows, rng)
     tagger = Tagger(hidden, rng)
     mean, square = ({k: np.zeros_like(v, float) for k, v in tagger.p.items()} for _ in range(2))
-    total = rounds * -(-x.shape[1] // batch)
-    step = 0
-    for _ in range(rounds):
-        order = rng.permutation(x.shape[1])
-        for at in range(0, len(order), batch):
-            own, step = order[at:at + batch], step + 1
-            g = tagger.gradients(x[:, own], y[:, own])
-            norm = np.sqrt(sum(float((v ** 2).sum()) for v in g.values()))
-            now = rate * (1 - step / (total + 1))
-            for k, v in g.items():
-                v = v * min(1.0, 5.0 / (norm + 1e-9))
-                mean[k] += 0.1 * (v - mean[k])
-                square[k] += 0.01 * (v ** 2 - square[k])
-                move = now * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
-                tagger.p[k] = (tagger.p[k] - np.where(tagger.p[k] < -5e3, 0, move)).astype(np.float32)
+    left = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        if not len(left):
+            left = rng.permutation(x.shape[1])
+        own, left = left[:batch], left[batch:]
+        g = tagger.gradients(x[:, own], y[:, own])
+        norm = np.sqrt(sum(float((v ** 2).sum()) for v in g.values()))
+        now = rate * (1 - step / (steps + 1))
+        for k, v in g.items():
+            v = v * min(1.0, 5.0 / (norm + 1e-9))
+            mean[k] += 0.1 * (v - mean[k])
+            square[k] += 0.01 * (v ** 2 - square[k])
+            move = now * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)
+            tagger.p[k] = (tagger.p[k] - np.where(tagger.p[k] < -5e3, 0, move)).astype(np.float32)
     return tagger
 
 
@@ -395,8 +394,12 @@ def training_windows(df: DataFrame, text_column: str, most_windows: int) -> list
                                              names=["kind", "piece", "spans"])
 
     found = source.mapInArrow(run, "kind int, piece string, spans array<long>")
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("piece"), "piece", "spans")
-    few = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_windows).collect()
+    # first the least of each of 256 parts of a kind, so that no task gets what all others have kept
+    hashed = found.withColumn("h", F.xxhash64("piece"))
+    for keys in ((F.col("kind"), F.pmod("h", F.lit(256))), (F.col("kind"),)):
+        order = Window.partitionBy(*keys).orderBy("h", "piece", "spans")
+        hashed = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_windows)
+    few = hashed.collect()
     few.sort(key=lambda r: (r["kind"], r["place"]))
     return [(r["piece"], [(s[i], s[i + 1], s[i + 2]) for i in range(0, len(s), 3)]) for r in few for s in [r["spans"]]]
 
