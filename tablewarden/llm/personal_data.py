@@ -102,7 +102,7 @@ for _i, _c in enumerate(_CHARS):
     for _x in {_c, _c.upper(), *("123456789" if _c == "0" else "")}:
         CLASS[ord(_x)] = _i + 1
 LABELS = 1 + 2 * len(KINDS)  # outside, then beginning and inside of each kind
-WINDOW, STRIDE, GROUP = 192, 144, 512
+WINDOW, STRIDE, GROUP = 256, 216, 2048
 TRAIN = 96
 
 
@@ -341,7 +341,7 @@ def examples(windows: list[tuple[str, list[Span]]], rng: np.random.Generator) ->
     return np.array(x).T.copy(), np.array(y).T.copy()
 
 
-def fit(windows: list[tuple[str, list[Span]]], hidden: int = 12, steps: int = 240, batch: int = 128, rate: float = 0.02, seed: int = 13) -> Tagger | None:
+def fit(windows: list[tuple[str, list[Span]]], hidden: int = 8, steps: int = 240, batch: int = 128, rate: float = 0.02, seed: int = 13) -> Tagger | None:
     """Adam on batches of windows; None without labelled windows."""
     rng = np.random.default_rng(seed)
     if not any(spans for _, spans in windows):
