@@ -8,7 +8,8 @@ Buckets that still hold two classes are then split by the members' rarest shingl
 share one: texts that only share a frequent passage do not meet. In these groups the members outside the
 largest class lead in turn, and meet all members of other classes, until each of them has led: no pair of two
 classes that share a band is left out, and pairs within a class are not made. Before a pair is made, sizes and
-512 parity bits of the sets give bounds of their difference. Sets are compared by 32-bit
+512 parity bits of the sets give bounds of their difference, and the places of the shingle they share a bound of what
+they have in common; a pair so similar meets these bounds in the first bucket it shares. Sets are compared by 32-bit
 hashes, which lets a similarity be off by one shingle in about one pair of 10,000 (of 600 shingles each).
 
 Texts of equal words (a 64-bit hash of them) are one node from the start. Null texts and texts without words stay alone. Repeated
@@ -110,9 +111,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rare_shingles(content: DataFrame, similarity: float, bins: int = 1 << 18) -> DataFrame:
-    """``bucket``, ``key``: of each set the rarest shingles, as many as two sets so similar cannot both miss.
+    """``bucket``, ``key``, ``place``: of each set the rarest shingles, as many as two sets so similar cannot both miss.
 
-    Rarity is counted over all sets given, by hash bin: the table of counts has a fixed size.
+    ``place`` counts from the rarest, in an order that is the same for all sets. Rarity is counted over all sets given, by hash bin: the table of counts has a fixed size.
     """
     counted = content.select(F.explode("s").alias("e")).groupBy(F.pmod("e", F.lit(bins)).alias("bin")).count().collect()  # at most ``bins`` rows
     counts = np.zeros(bins, np.int64)
@@ -129,9 +130,9 @@ def rare_shingles(content: DataFrame, similarity: float, bins: int = 1 << 18) ->
             wanted = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
             rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             kept = order[rank < wanted[doc]]
-            yield pa.RecordBatch.from_arrays([pa.array(element[kept]), batch.column("key").take(pa.array(doc[kept]))], names=["bucket", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(element[kept]), batch.column("key").take(pa.array(doc[kept])), pa.array(rank[kept])], names=["bucket", "key", "place"])
 
-    return content.mapInArrow(first, "bucket long, key long")
+    return content.mapInArrow(first, "bucket long, key long, place long")
 
 
 def unsettled(member: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             outside = outside.join(led, ["bucket", "key"], "left_anti")
         width *= 32
         turn = F.xxhash64("key", F.lit(width))
-        met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("f").alias("fb")), turn).alias("x"))
+        met = outside.groupBy("bucket", F.pmod(turn, F.lit(width)).alias("part")).agg(F.min_by(F.struct(F.col("key").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("place").alias("pb")), turn).alias("x"))
         met = cut_lineage(met.select("bucket", "x.*"))
         if met.isEmpty():
             break
@@ -228,7 +229,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         led = leads if led is None else led.union(leads)
         # sets whose sizes or parities differ by more cannot be that similar
         apart = sum(F.bit_count(F.col("f")[k].bitwiseXOR(F.col("fb")[k])) for k in range(PARITIES // 64))
-        alike = (F.least("n", "nb") >= F.lit(similarity) * F.greatest("n", "nb")) & (apart <= (F.col("n") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+        # in the first bucket that two sets share, what they have in common lies from their places there on
+        common = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+        near = common >= (F.col("n") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9
+        alike = near & (F.least("n", "nb") >= F.lit(similarity) * F.greatest("n", "nb")) & (apart <= (F.col("n") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
         pairs = held.join(met, "bucket").where("comp != cb").where(alike).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
         pairs = cut_lineage(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         tried = tried.union(pairs)
