@@ -112,7 +112,8 @@ def _score(template: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = 0.8) -> DataFrame:
-    """Per row: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``."""
+    """Per row: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score``,
+    ``doubted`` (a base label all of whose places belong to another licence's name; it stays in ``labels``)."""
     postings, weight, totals = _postings()
     postings_of = {w: [{"t": t, "q": q, "v": weight[w]} for t, q in p] for w, p in sorted(postings.items())}
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
@@ -144,10 +145,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     base = F.array_compact(F.array(*(F.when(F.size(f"b{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES))))
     # "general public license" after one of these words is another licence than the GPL
     plain = F.exists("b2", lambda p: (p == 0) | ~F.coalesce(F.try_element_at("w", p).isin("lesser", "affero", "library"), F.lit(False)))
-    kept = F.when(plain, base).otherwise(F.array_remove(base, "gpl"))
+    doubted = F.when(F.array_contains(base, "gpl") & ~plain, F.lit("gpl")).otherwise(F.lit(""))
     own = F.transform(F.filter("scores", lambda x: x.score >= least), lambda x: x.label)
     return rows.select(
         F.col("id").alias(id_column), "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"), F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(kept, own)), ",").alias("labels"),
-        F.array_max(F.transform("scores", lambda x: x.score)).alias("score"))
+        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"),
+        F.array_max(F.transform("scores", lambda x: x.score)).alias("score"), doubted.alias("doubted"))
