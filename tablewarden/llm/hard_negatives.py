@@ -88,10 +88,11 @@ def first_of(group: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) ->
 
 
 class Best:
-    """The k best (score, id) found so far for each slot."""
+    """The k best (score, id) found so far for each slot, and the score that a further one must reach."""
 
-    def __init__(self, slots: int, k: int):
-        self.k, self.floor, self.count = k, np.full(slots, NONE), np.zeros(slots, np.int64)
+    def __init__(self, slots: int, k: int, least: np.ndarray | None = None):
+        self.k, self.least = k, np.full(slots, NONE) if least is None else least
+        self.floor, self.count = self.least, np.zeros(slots, np.int64)
         self.slot = self.score = self.ident = np.empty(0, np.int64)
 
     def add(self, slot: np.ndarray, score: np.ndarray, ident: np.ndarray) -> None:
@@ -103,7 +104,7 @@ class Best:
         self.count = np.bincount(self.slot, minlength=len(self.floor))
         low = np.full(len(self.floor), np.iinfo(np.int64).max)
         np.minimum.at(low, self.slot, self.score)
-        self.floor = np.where(self.count >= self.k, low, NONE)
+        self.floor = np.where(self.count >= self.k, np.maximum(low, self.least), self.least)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -1,97 +1,123 @@
 """Exact largest inner products: vectors in order of length, rotated partial sums, Cauchy-Schwarz bounds.
 
-Vectors are cut into blocks by descending norm. Each query block first meets the longest vectors, which sets a
-threshold for each query; further blocks are met only if their norm can still reach one. Within a block the
-product of the leading rotated coordinates plus the product of the residual norms bounds the score, and only
-vectors whose bound reaches the threshold are multiplied out. The rotation is fitted on a bounded sample; it
-changes the work, never the result.
-
-Rows with a null id, a null vector or a null or non-finite component take no part. Shorter vectors count as
-ended by zeros. Rows with the query's own id are not its candidates; repeated queries are one query, ties go to
-the smaller id. Other columns are not read.
+Rows are written in order of falling norm, a range of norms a file. Queries come in blocks of bounded size; each block
+is broadcast and meets the rows where they lie. A first pass over a hash sample gives every query a score that its k-th
+best reaches at least. In the second pass a task goes through its rows in order of length and stops asking a query whose
+norm times the next row's norm is below what the query has. Of the others it adds up products of rotated coordinates, a
+quarter at a time: the sum so far plus the product of the residual norms bounds the score, and only pairs whose bound
+holds to the end are multiplied out, in 64-bit integers. The rotation is that of a bounded sample's singular vectors, so
+most of a score is in its first coordinates; it changes the work, never the result.
+
+Defined results. Rows with a null id, a null vector or a null or non-finite component take no part; without queries or
+rows the result is empty. Shorter vectors count as ended by zeros. A row is not its own candidate, others of its id are;
+queries that repeat an id are ranked apart. Ties go to the smaller id, then to equal ids in any order. Other columns are
+not read, whatever they are called. Scores whose bound reaches 2**56 raise a ValueError.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.session import cut_lineage
-
-STEP = 512
-
-
-def best_of(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, basis: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the candidates that may be among a query's k best, given scores to reach."""
-    order = np.lexsort((ids, -(x * x).sum(1)))
-    x, ids = x[order], ids[order]
-    half = max(1, x.shape[1] // 4)
-    xr, qr = x @ basis, queries @ basis
-    norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((queries * queries).sum(1))
-    rest, q_rest = np.sqrt((xr[:, half:] ** 2).sum(1)), np.sqrt((qr[:, half:] ** 2).sum(1))
-    slack = 1e-6 * (1 + q_norm * norm.max(initial=0))
-    floor, found = floor.copy(), [[] for _ in q_ids]
-    for a in range(0, len(x), STEP):
-        alive = np.flatnonzero(q_norm * norm[a] + slack >= floor)
-        if not len(alive):
-            break
-        b = slice(a, a + STEP)
-        bound = qr[alive, :half] @ xr[b, :half].T + q_rest[alive, None] * rest[b] + slack[alive, None]
-        row, col = np.nonzero((bound >= floor[alive, None]) & (ids[b] != q_ids[alive, None]))
-        score = np.einsum("ij,ij->i", queries[alive[row]], x[b][col])
-        for i in np.unique(row):
-            own, q = row == i, alive[i]
-            found[q] = sorted([*found[q], *((-s, v) for s, v in zip(score[own].tolist(), ids[b][col[own]].tolist()))])[:k]
-            if len(found[q]) == k:
-                floor[q] = max(floor[q], -found[q][-1][0])
-    return [(int(q), int(v), int(-s)) for q, f in zip(q_ids, found) for s, v in f]
+from tablewarden.llm.hard_negatives import LARGEST, Best, matrix
+from tablewarden.session import cut_lineage, fresh_path, small_frame
+
+STAGES = (0.25, 0.5, 0.75, 1.0)
+CELLS = 1 << 20
+
+
+def sift(queries: np.ndarray, rotated: np.ndarray, q_row: np.ndarray, best: Best, x: np.ndarray, row: np.ndarray, ident: np.ndarray, basis: np.ndarray) -> None:
+    """Add to ``best`` what rows in order of falling norm have for the queries."""
+    ends = [max(1, round(s * x.shape[1])) for s in STAGES]
+    xr = x.astype(float) @ basis
+    norm, q_norm = np.sqrt((xr * xr).sum(1)), np.sqrt((rotated * rotated).sum(1))
+    rest, q_rest = (np.sqrt(np.maximum(np.cumsum((v * v)[:, ::-1], 1)[:, ::-1], 0)) for v in (xr, rotated))
+    step = max(1, CELLS // max(1, len(queries)))
+    for a in range(0, len(x), step):
+        floor = np.where(best.floor > -LARGEST, best.floor, -np.inf)
+        slack = 1e-6 * (1 + q_norm * norm[a])
+        q, r = np.flatnonzero(q_norm * norm[a] + slack >= floor), np.arange(a, min(a + step, len(x)))
+        if not len(q):
+            return
+        total, begin = np.zeros((len(q), len(r))), 0
+        for end in ends:
+            total += rotated[q, begin:end] @ xr[r, begin:end].T
+            left = np.outer(q_rest[q, end], rest[r, end]) if end < x.shape[1] else 0.0
+            fits = total + left + slack[q, None] >= floor[q, None]
+            q_in, r_in = fits.any(1), fits.any(0)
+            q, r, total, fits, begin = q[q_in], r[r_in], total[q_in][:, r_in], fits[q_in][:, r_in], end
+            if not len(q):
+                break
+        else:
+            at, col = np.nonzero(fits)
+            at, col = q[at], r[col]
+            for b in range(0, len(at), CELLS // 16):
+                i, j = at[b:b + CELLS // 16], col[b:b + CELLS // 16]
+                score = np.einsum("ij,ij->i", queries[i], x[j])
+                ok = (q_row[i] != row[j]) & (score >= best.floor[i])
+                best.add(i[ok], score[ok], ident[j[ok]])
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding",
-                 scale: float = 256.0, block_rows: int = 8192, query_rows: int = 512, sample_rows: int = 5000) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: integer products of floor(scale * component). Sums must stay below 2**53."""
-    raw = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").alias("e"), is_query.alias("q"))
+                 scale: float = 256.0, file_rows: int = 1 << 16, block_cells: int = 1 << 20, sample_rows: int = 5000, sample_one_of: int = 16) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score``: integer products of floor(scale * component)."""
+    spark = vectors.sparkSession
+    raw = vectors.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").alias("e"), F.coalesce(is_query, F.lit(False)).alias("q"))
     fine = raw.where("id is not null and e is not null").where(~F.exists("e", lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))))
-    ints = fine.select("id", "q", F.transform("e", lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("x"))
-    ints = ints.withColumn("norm", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-    rows, dim = ints.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0))).first()
+    ints = fine.select("id", "q", F.transform("e", lambda v: F.floor(v.cast("double") * scale)).alias("x"), F.monotonically_increasing_id().alias("row"))
+    ints = cut_lineage(ints.withColumn("square", F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))))
+    count, dim, most = ints.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(0)), F.coalesce(F.max("square"), F.lit(0.0))).first()
+    if most * (1 + 1e-6) + 1 >= LARGEST:
+        raise ValueError(f"scores of up to {most:.3g} are too large; lower the scale")
     dim = max(1, dim)
-    ints = ints.withColumn("x", F.concat("x", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("x"))))
-    n_blocks = 1 + rows // block_rows
-    sorted_rows = cut_lineage(ints.repartitionByRange(n_blocks, F.desc("norm"), "id").withColumn("block", F.spark_partition_id().cast("long")))
-    sample = np.array([r["x"] for r in sorted_rows.select("x").limit(sample_rows).collect()]).reshape(-1, dim)
+    # the row number parts rows of equal norm
+    rows = ints.repartitionByRange(1 + count // file_rows, F.desc("square"), "row").sortWithinPartitions(F.desc("square"), "row")
+    rows = cut_lineage(rows.select("id", "row", "x", "q"))
+    few = rows.orderBy(F.xxhash64("row")).limit(sample_rows).select("x").collect()
+    sample = np.array([list(r["x"]) + [0] * (dim - len(r["x"])) for r in few], float).reshape(-1, dim)
     basis = np.linalg.svd(sample.T @ sample)[0] if len(sample) else np.eye(dim)
+    schema = "query long, query_id long, vec_id long, score long"
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    path = fresh_path(spark, "products")
+
+    def meet(source: DataFrame, block: list, floor: dict[int, int], use: Callable[[DataFrame], object]) -> object:
+        asked = np.array([list(r["x"]) + [0] * (dim - len(r["x"])) for r in block], np.int64)
+        least = np.array([floor.get(r["row"], -LARGEST) for r in block], np.int64)
+        sent = spark.sparkContext.broadcast((asked, np.array([r["row"] for r in block]), np.array([r["id"] for r in block]), least, basis))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, q_row, q_id, least, basis = sent.value
+            best, rotated = Best(len(asked), k, least), asked.astype(float) @ basis
+            for batch in batches:
+                c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+                sift(asked, rotated, q_row, best, matrix(c["x"], dim), c["row"].to_numpy(), c["id"].to_numpy(), basis)
+            got = (q_row[best.slot], q_id[best.slot], best.ident, best.score)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got], names=["query", "query_id", "vec_id", "score"])
+
+        found = source.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = use(found)
+        sent.destroy()
+        return out
+
+    def lowest(found: DataFrame) -> dict[int, int]:
+        low = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("low")).where(F.col("n") == k)
+        return {r["query"]: r["low"] for r in low.collect()}
+
+    def keep(found: DataFrame) -> None:
+        found.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
 
-    edges = sorted_rows.groupBy("block").agg(F.max("norm").alias("top"))
-    leading = edges.agg(F.coalesce(F.min("block"), F.lit(0))).first()[0]
-    queries = sorted_rows.where("q").select("id", "x", "norm").dropDuplicates(["id", "x"])
-    n_queries = 1 + rows // (50 * query_rows)
-    queries = cut_lineage(queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_queries))))
-
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.array(column.combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = best_of(matrix(left["x"]), left["id"].to_numpy(), left["floor"].to_numpy(), matrix(right["x"]), right["id"].to_numpy(), basis, k) if left.num_rows and right.num_rows else []
-        return pa.table([pa.array([r[i] for r in got], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
-
-    def run(asked: DataFrame, pairs: DataFrame) -> DataFrame:
-        """asked: queries with floor; pairs: (qb, block)."""
-        left = asked.join(pairs, "qb")
-        right = sorted_rows.select("id", "x", "block").join(pairs, "block").select("id", "x", F.col("qb").alias("of_qb"), F.col("block").alias("of_block"))
-        return left.groupBy("qb", "block").cogroup(right.groupBy("of_qb", "of_block")).applyInArrow(meet, "query_id long, vec_id long, score long")
-
-    numbers = queries.select("qb").distinct()
-    first = cut_lineage(run(queries.withColumn("floor", F.lit(float("-inf"))), numbers.withColumn("block", F.lit(leading).cast("long"))))
-    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    asked = queries.join(reached, queries.id == reached.query_id, "left").withColumn("floor", F.when(F.col("n") >= k, F.col("low").cast("double")).otherwise(F.lit(float("-inf"))))
-    asked = cut_lineage(asked.select("id", "x", "norm", "qb", "floor"))
-    # the squared norm that a block needs to reach the floor of at least one query of the query block
-    need = asked.groupBy("qb").agg(F.min(F.when(F.col("floor") <= 0, F.lit(0.0)).otherwise(F.col("floor") * F.col("floor") / F.col("norm") * (1 - 1e-9))).alias("need"))
-    spread = need.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks).cast("long"))))
-    pairs = cut_lineage(spread.join(edges, "block").where((F.col("block") != leading) & (F.col("top") >= F.col("need"))).select("qb", "block"))
-    every = first.union(run(asked, pairs))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keep(small_frame(spark, [], f"{schema}, rank int"))
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(sample_one_of)) == 0).drop("q")
+    size, block = max(1, block_cells // dim), []
+    for r in rows.where("q").select("row", "id", "x").toLocalIterator():
+        block.append(r)
+        if len(block) == size:
+            meet(rows.drop("q"), block, meet(some, block, {}, lowest), keep)
+            block = []
+    if block:
+        meet(rows.drop("q"), block, meet(some, block, {}, lowest), keep)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)

@@ -135,15 +135,31 @@ def test_licence_wordings(spark):
         "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
         "permission notice appear in all copies.": "isc",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
-        "either version 3": "lgpl",
-        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3": "agpl",
+        "either version 3": "gpl,lgpl",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3": "agpl,gpl",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa", "Text licensed under CC BY 4.0, as is": "cc-by",
         "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Distributed under the ISC licence": "isc",
         "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
         "subject to the terms of the Mozilla Public License, v. 2.0": "mpl", "Licensed under the Apache License, Version 2.0": "apache",
         "Mozilla Public License is a name, a permission granted is a word, redistribution of wealth": ""}
-    got = {r.doc_id: r.labels for r in scan(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
-    assert got == texts
+    got = {r.doc_id: (r.labels, r.doubted) for r in scan(spark.createDataFrame([(t, t) for t in texts], "doc_id string, text string")).collect()}
+    assert got == {t: (labels, "gpl" if labels in ("gpl,lgpl", "agpl,gpl") else "") for t, labels in texts.items()}
+
+
+def test_licence_base_places_against_a_naive_scan(spark):
+    word, rng = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), np.random.default_rng(4)
+    parts = ["mit", "MIT license", "apache", "Apache-License", "general", "General Public License", "license", "lesser", "é", "x1", ",", "mitlicense", "public license\n"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(200)] + [None, "", "mit license " * 60, "mit " * 5_000]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    got = {r.doc_id: r for r in scan(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, labels string")).collect()}
+    for i, t in enumerate(texts):
+        w = word.findall((t or "").translate(lower))
+        places = [(p, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+                  for p in range(len(w)) if w[p:p + len(phrase.split())] == phrase.split()]
+        at = [p for p, _ in places]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
+        base = sorted({label for _, label in places})
+        assert got[i].base_labels == ",".join(base) and set(base) <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
 
 
 def test_language_model_counts(docs):
@@ -156,17 +172,25 @@ def test_language_model_counts(docs):
     assert {r.doc_id: r.n_known for r in got}[1] == 8
 
 
-def test_products(spark):
+@pytest.mark.parametrize("options", [{}, {"file_rows": 40, "block_cells": 8}, {"sample_rows": 3, "sample_one_of": 1}])
+def test_products(spark, options):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 8)).astype("float32")
+    x = rng.normal(size=(300, 8)).astype("float32") * rng.lognormal(0, 1, (300, 1)).astype("float32")
     x[40:80] = x[40]
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [float("nan")] * 8), (302, [None] * 8)], "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in top_products(table, F.col("vec_id") % 50 == 0, block_rows=40, query_rows=1).collect())
+    ids = [*range(300), 50, 50, 7, 400, 401]                       # repeated rows of a query and of another id
+    x = np.concatenate([x, x[[50, 50, 9]], np.r_[x[3][:5], 0, 0, 0][None], np.zeros((1, 8))]).astype("float32")
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)]
+    rows[-2] = (400, x[-2][:5].tolist())                           # a shorter vector
+    table = spark.createDataFrame([(*r, 1, "a") for r in [*rows, (300, None), (301, [float("nan")] * 8), (302, [None] * 8), (None, [1.0] * 8)]],
+                                  "vec_id long, embedding array<float>, row int, score string").repartition(3)
+    got = sorted(tuple(r) for r in top_products(table, F.col("vec_id") % 50 == 0, **options).collect())
     w, want = np.floor(256 * x.astype(float)).astype(int), []
-    for q in range(0, 300, 50):
-        best = sorted((-int(w[q] @ w[i]), i) for i in range(300) if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == want
+    for q in [q for q, i in enumerate(ids) if i % 50 == 0]:
+        best = sorted((-int(w[q] @ w[i]), ids[i]) for i in range(len(ids)) if i != q)[:5]
+        want += [(ids[q], k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    assert top_products(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert top_products(table.where("vec_id = 1"), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_archives(spark):
