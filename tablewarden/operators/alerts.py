@@ -14,6 +14,7 @@ from tablewarden.functions.times import before, instant, shift
 from tablewarden.operators.lineage import closure
 from tablewarden.operators.noise import MAX_WINDOW, MIN_WINDOW, PAIR, window_minutes
 from tablewarden.plans.lookups import measured_join
+from tablewarden.plans.recent import since
 
 # Severities the paging and webhook channels understand.
 PAGER_SEVERITY = {"fail": "critical", "warn": "warning", "info": "info", "ok": "info"}
@@ -54,7 +55,7 @@ def last_sent(log: DataFrame, as_of: datetime | str, noise: DataFrame | None = N
     count as well. A pair with a noise record has the window its score gives.
     """
     span = max(base_minutes, largest) if noise is not None else base_minutes
-    newest = log.filter(F.col("sent_at") >= before(as_of, span * 60)).groupBy(*PAIR).agg(F.max("sent_at").alias("last_sent_at"))
+    newest = since(log, "sent_at", before(as_of, span * 60)).groupBy(*PAIR).agg(F.max("sent_at").alias("last_sent_at"))
     if noise is None:
         return newest
     window = noise.select(*PAIR, window_minutes(F.col("noise_score"), smallest, largest).alias("minutes"))

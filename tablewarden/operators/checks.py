@@ -8,15 +8,16 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewarden.functions.assertions import compare, parse_assertion
+from tablewarden.functions.assertions import assertion_holds, assertion_op, compare
 from tablewarden.functions.times import (before, bucket_start, day_start, duration_seconds, instant,
                                          seconds_between)
+from tablewarden.plans.answers import ask_all
 from tablewarden.plans.newest import newest
+from tablewarden.plans.recent import between, since
 from tablewarden.plans.rules import Rule, evaluate, repeated_values, rule_row, unmatched_rows
 from tablewarden.session import small_frame
 
@@ -27,8 +28,7 @@ FORMATS = {"email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"}
 ROW_METRICS = ("row_count", "missing_count", "missing_percent", "min", "max", "avg",
                "invalid_count", "freshness")
 VALUE_METRICS = ("duplicate_count", "duplicate_percent")
-# What a user's query raises when it does not parse, resolve, or names an unknown table.
-UNUSABLE = (PySparkException, KeyError)
+RESULT = "rule string, table_name string, check_type string, metric_value double, passed boolean"
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,10 @@ def row_metric(check: Check, as_of: datetime | str | None = None) -> Column:
     if check.metric == "avg":
         return F.avg(c)
     if check.metric == "invalid_count":
-        pattern = check.pattern or FORMATS[check.column if check.column in FORMATS else "email"]
+        # the format of the check, else the one that has the column's name
+        pattern = check.pattern or FORMATS.get(check.column)
+        if pattern is None:
+            raise ValueError(f"{check.title}: give a pattern, {check.column} is no known format")
         return F.count_if(c.isNotNull() & ~c.rlike(pattern))
     if check.metric == "freshness":
         return seconds_between(F.max(c), instant(as_of))
@@ -115,11 +118,16 @@ def run_suite(tables: Mapping[str, DataFrame], checks: Sequence[Check],
 
     All row metrics of a table come from one scan. Each column checked for duplicates adds one
     count per value, each reference check one anti join of distinct keys. Nothing is written, so
-    calling this is the dry run; ``history.append`` keeps the rows.
+    calling this is the dry run; ``history.append`` keeps the rows. A check of a table or column that
+    is not there fails, with a NULL metric, and leaves the others alone.
     """
     parts = []
+    lost = [c for c in checks if not _possible(c, tables)]
+    if lost or not checks:
+        session = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+        parts.append(small_frame(session, [(c.title, c.table, kind, None, False) for c in lost], RESULT))
     for table, df in tables.items():
-        mine = [c for c in checks if c.table == table]
+        mine = [c for c in checks if c.table == table and c not in lost]
         fused = [Rule(c.title, row_metric(c, as_of), c.holds, _tags(c, kind))
                  for c in mine if c.metric in ROW_METRICS]
         if fused:
@@ -135,14 +143,20 @@ def run_suite(tables: Mapping[str, DataFrame], checks: Sequence[Check],
             parts.append(stats.select(F.inline(F.array(*rows))))
         for c in mine:
             if c.metric == "reference":
-                lost = unmatched_rows(df, [c.column], tables[c.parent], [c.parent_column], skip_null_keys=True)
+                alone = unmatched_rows(df, [c.column], tables[c.parent], [c.parent_column], skip_null_keys=True)
                 rule = Rule(c.title, F.col("unmatched"), c.holds, _tags(c, kind))
-                parts.append(lost.select(F.inline(F.array(rule_row(rule, F.col("unmatched"), None)))))
+                parts.append(alone.select(F.inline(F.array(rule_row(rule, F.col("unmatched"), None)))))
             if c.metric == "required_columns":
                 parts.append(_required_row(df, c, kind))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _possible(c: Check, tables: Mapping[str, DataFrame]) -> bool:
+    """Are the check's tables and columns there?"""
+    wanted = [(c.table, c.column)] + ([(c.parent, c.parent_column)] if c.parent else [])
+    return all(t in tables and (n is None or n in tables[t].columns) for t, n in wanted)
+
+
 def _required_row(df: DataFrame, c: Check, kind: str) -> DataFrame:
     absent = len([n for n in c.required if n not in df.columns])
     rule = Rule(c.title, F.col("absent"), c.holds, _tags(c, kind))
@@ -215,48 +229,23 @@ class SqlCheck:
     table: str = "unknown"
 
 
-def first_value(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row holding the first column of the query's first row; NULL row if there is none."""
-    answer = spark.sql(query, **tables)
-    first = answer.select(F.col(f"`{answer.columns[0]}`").alias("v")).limit(1)
-    return first.agg(F.first("v").alias("result"), F.count(F.lit(1)).alias("rows"))
-
-
-def number(answer: DataFrame) -> Column:
-    """The result as a double if its type is a number or a boolean, else NULL."""
-    kind = answer.schema["result"].dataType
-    fits = isinstance(kind, (T.NumericType, T.BooleanType))
-    return F.col("result").cast("double") if fits else F.lit(None).cast("double")
-
-
 def run_sql_checks(spark: SparkSession, checks: Sequence[SqlCheck],
                    tables: Mapping[str, DataFrame]) -> DataFrame:
-    """User queries judged by an assertion on their first value.
+    """User queries judged by an assertion on their first value, with ``details`` of what went wrong.
 
-    No row counts as 0. A NULL or non-numeric value fails everything but ``!=``, and an assertion
-    outside the grammar or a query that does not compile fails. The metric is kept only for
-    numbers.
+    Tables are named ``{orders}``, ``orders`` or ``public.orders``. No row counts as 0. A NULL or
+    non-numeric value fails everything but ``!=``; an assertion outside the grammar and a query that does not
+    compile or run fail, and only they do. The metric is kept only for numbers.
     """
-    parts = []
-    for c in checks:
-        try:
-            answer = first_value(spark, c.query, tables)
-        except UNUSABLE:
-            answer = small_frame(spark, [(None, 1)], "result double, rows bigint")
-            parts.append(_sql_row(answer, c, F.lit(False), F.lit(None).cast("double")))
-            continue
-        value = F.when(F.col("rows") == 0, F.lit(0.0)).otherwise(number(answer))
-        try:
-            passed = parse_assertion(c.assertion).holds(value)
-        except ValueError:
-            passed = F.lit(False)
-        parts.append(_sql_row(answer, c, passed, value))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _sql_row(answer: DataFrame, c: SqlCheck, passed: Column, value: Column) -> DataFrame:
-    return answer.select(F.lit(c.name).alias("check_name"), F.lit(c.table).alias("table_name"),
-                         F.lit("custom_sql").alias("check_type"), passed.alias("passed"), value.alias("metric_value"))
+    answers = ask_all(spark, [c.query for c in checks], tables)
+    rows = small_frame(spark, [(c.name, c.table, c.assertion, a.value if a.rows else (None if a.error else 0.0), a.error) for c, a in zip(checks, answers)],
+                       "check_name string, table_name string, assertion string, metric_value double, error string")
+    value, text = F.col("metric_value"), F.col("assertion")
+    judged = F.coalesce(assertion_holds(text, value), value.isNull() & (assertion_op(text) == "!="), F.lit(False))
+    known = assertion_op(text).isNotNull()
+    details = F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error")).when(~known, F.concat(F.lit("error: not an assertion: "), text))
+    return rows.select("check_name", "table_name", F.lit("custom_sql").alias("check_type"),
+                       (F.col("error").isNull() & known & judged).alias("passed"), "metric_value", details.alias("details"))
 
 
 def results(history: DataFrame, table: str | None = None, passed: bool | None = None,
@@ -271,7 +260,7 @@ def results(history: DataFrame, table: str | None = None, passed: bool | None =
 
 
 def daily_pass_rate(history: DataFrame, as_of: datetime | str, days: int = 30) -> DataFrame:
-    recent = history.filter(F.col("executed_at") >= before(as_of, days * DAY))
+    recent = since(history, "executed_at", before(as_of, days * DAY))
     return recent.groupBy("table_name", day_start(F.col("executed_at")).alias("day")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"),
         (F.count_if("passed") * 100.0 / F.count(F.lit(1))).alias("pass_rate"))
@@ -284,7 +273,7 @@ def trend(history: DataFrame, as_of: datetime | str, days: int = 30, bucket_seco
     table and time bucket: within a bucket the failures after its last pass follow from a window
     over that bucket only, and a table's streak is then a sum over its buckets.
     """
-    recent = history.filter(F.col("executed_at") >= before(as_of, days * DAY))
+    recent = since(history, "executed_at", before(as_of, days * DAY))
     # Results of one run share a time and collapse here, before any window.
     moments = recent.groupBy("table_name", bucket_start(F.col("executed_at"), bucket_seconds).alias("b"),
                              "executed_at").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("ok"))
@@ -313,7 +302,7 @@ def pass_rate_by_table(history: DataFrame) -> DataFrame:
 
 def checks_in_last_day(history: DataFrame, as_of: datetime | str) -> DataFrame:
     """Checks run in the 24 hours before ``as_of`` per table, split by outcome."""
-    recent = history.filter((F.col("executed_at") >= before(as_of, DAY)) & (F.col("executed_at") <= instant(as_of)))
+    recent = between(history, "executed_at", before(as_of, DAY), instant(as_of))
     return recent.groupBy("table_name").agg(
         F.count(F.lit(1)).alias("checks_run"), F.count_if("passed").alias("passed"),
         F.count_if(~F.col("passed")).alias("failed"))

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewarden.functions.assertions import parse_assertion
-from tablewarden.operators.checks import UNUSABLE, first_value, number
+from tablewarden.functions.assertions import assertion_holds, assertion_op
 from tablewarden.operators.freshness import Watch, poll
+from tablewarden.plans.answers import Answer, ask_all
 from tablewarden.plans.newest import newest
 from tablewarden.plans.rules import Rule, evaluate, repeated_values, rule_row
 from tablewarden.session import small_frame
@@ -115,6 +115,7 @@ def validate(spark: SparkSession, contracts: Sequence[Contract], tables: Mapping
     fused: dict[str, list[Rule]] = {}
     failures: list[tuple] = []
     parts: list[DataFrame] = []
+    asked: list[tuple[Contract, SqlRule]] = []
     for c in contracts:
         if contract_id is not None and c.id != contract_id:
             continue
@@ -148,32 +149,34 @@ def validate(spark: SparkSession, contracts: Sequence[Contract], tables: Mapping
                 parts.append(counted.select(F.inline(F.array(rule_row(rule, F.col("repeated"), _detail)))))
         if c.min_rows is not None:
             mine.append(Rule("min_rows", F.count(F.lit(1)), lambda n, least=c.min_rows: n >= least, tags))
-        for r in c.rules:
-            parts.append(_sql_rule(spark, r, c, tables))
+        asked += [(c, r) for r in c.rules]
     parts += [evaluate(tables[t], rules, _detail) for t, rules in fused.items() if rules]
+    if asked:
+        parts.append(_sql_rules(spark, asked, tables))
     if failures or not parts:
         parts.append(_fixed(spark, failures))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _sql_rule(spark: SparkSession, r: SqlRule, c: Contract, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """First value of a SELECT, NULL counted as 0, against the assertion."""
-    who = (c.id, c.version, c.table)
-    if not r.sql.strip().lower().startswith(("select", "with")):
-        return _fixed(spark, [(r.name, *who, "a SQL rule must start with SELECT or WITH")])
-    try:
-        judge = parse_assertion(r.assertion).holds
-    except ValueError as problem:
-        return _fixed(spark, [(r.name, *who, str(problem))])
-    used = {n: df for n, df in tables.items() if "{" + n + "}" in r.sql}
-    try:
-        answer = first_value(spark, r.sql, used)
-    except UNUSABLE as problem:
-        return _fixed(spark, [(r.name, *who, str(problem).splitlines()[0])])
-    value = F.when(F.col("result").isNull(), F.lit(0.0)).otherwise(number(answer))
-    rule = Rule(r.name, value, judge, _tags(c))
-    detail = lambda _, v: [F.concat(F.lit("SQL returned "), F.coalesce(F.col("result").cast("string"), F.lit("0"))).alias("detail")]
-    return answer.select(F.inline(F.array(rule_row(rule, value, detail))))
+def _sql_rules(spark: SparkSession, asked: Sequence[tuple[Contract, SqlRule]], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """First value of each SELECT, NULL counted as 0, against its assertion.
+
+    Each query fails alone; ``detail`` begins with ``error:`` where the rule, not the data, is at fault.
+    """
+    usable = [r.sql.strip().lower().startswith(("select", "with")) for _, r in asked]
+    answers = iter(ask_all(spark, [r.sql for (_, r), ok in zip(asked, usable) if ok], tables))
+    rows = []
+    for (c, r), ok in zip(asked, usable):
+        a = next(answers) if ok else Answer(error="a SQL rule must start with SELECT or WITH")
+        rows.append((r.name, c.id, c.version, c.table, r.assertion, a.value if a.shown is not None else (None if a.error else 0.0), a.shown, a.error))
+    frame = small_frame(spark, rows, "rule string, contract_id string, version string, table_name string, assertion string, metric_value double, shown string, error string")
+    text, value = F.col("assertion"), F.col("metric_value")
+    known = assertion_op(text).isNotNull()
+    judged = F.coalesce(assertion_holds(text, value), value.isNull() & (assertion_op(text) == "!="), F.lit(False))
+    detail = (F.when(F.col("error").isNotNull(), F.concat(F.lit("error: "), "error")).when(~known, F.concat(F.lit("error: not an assertion: "), text))
+              .otherwise(F.concat(F.lit("SQL returned "), F.coalesce("shown", F.lit("0")))))
+    passed = F.col("error").isNull() & known & judged
+    return frame.select("rule", "contract_id", "version", "table_name", F.when(known & F.col("error").isNull(), value).alias("metric_value"), passed.alias("passed"), detail.alias("detail"))
 
 
 def summarise(rule_rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,19 @@ def known_nodes(manifest: Column) -> Column:
     return F.map_concat(nodes, more, last)
 
 
+def result_rows(documents: DataFrame, key: str, as_of: datetime | str, results: str = "run_results", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per result of the run documents; ``at`` is the document's time, or ``as_of`` where it has none."""
+    doc = documents.select(key, *carry, F.from_json(results, RESULTS).alias("d"))
+    at = F.coalesce(parse_iso(F.col("d.metadata.generated_at")), instant(as_of))
+    return doc.select(key, *carry, F.col("d.metadata.invocation_id").alias("invocation_id"), at.alias("at"), F.inline("d.results"))
+
+
+def node_rows(documents: DataFrame, key: str, manifest: str = "manifest", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per node of the manifests."""
+    parsed = documents.select(key, *carry, F.from_json(manifest, MANIFEST).alias("m"))
+    return parsed.select(key, *carry, F.explode(known_nodes(F.col("m"))).alias("unique_id", "node"))
+
+
 def joined_results(artifacts: DataFrame, key: str, as_of: datetime | str, results: str = "run_results",
                    manifest: str = "manifest") -> DataFrame:
     """One row per result with its node. ``key`` identifies an artifact pair.
@@ -34,13 +48,7 @@ def joined_results(artifacts: DataFrame, key: str, as_of: datetime | str, result
     Results and nodes are unfolded to rows and joined on (artifact, node id), so a manifest with
     many nodes is not searched once per result.
     """
-    doc = artifacts.select(key, F.from_json(results, RESULTS).alias("d"))
-    at = F.coalesce(parse_iso(F.col("d.metadata.generated_at")), instant(as_of))
-    rows = doc.select(key, F.col("d.metadata.invocation_id").alias("invocation_id"), at.alias("at"),
-                      F.inline("d.results"))
-    nodes = artifacts.select(key, F.from_json(manifest, MANIFEST).alias("m")).select(
-        key, F.explode(known_nodes(F.col("m"))).alias("unique_id", "node"))
-    return rows.join(nodes, [key, "unique_id"], "left")
+    return result_rows(artifacts, key, as_of, results).join(node_rows(artifacts, key, manifest), [key, "unique_id"], "left")
 
 
 def run_rows(joined: DataFrame) -> DataFrame:

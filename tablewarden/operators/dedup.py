@@ -63,6 +63,22 @@ def sent_in_chunk(at: np.ndarray, blocked: int, window: int) -> list[int]:
     return out
 
 
+def still_needed(at: np.ndarray, blocked: int, window: int) -> np.ndarray:
+    """Which of some sorted times may still be sent when more times, earlier or later, turn up.
+
+    The k-th time sent lies in a range: not before ``blocked`` plus k - 1 windows, and not after the time that would be
+    the k-th if nothing else turned up. Times outside all ranges can be forgotten without changing any decision.
+    """
+    keep = np.zeros(len(at), bool)
+    low, i = blocked, int(np.searchsorted(at, blocked, side="right"))
+    while i < len(at):
+        keep[int(np.searchsorted(at, low, side="right")):i + 1] = True
+        low = low + window if low > NEVER else NEVER
+        i = int(np.searchsorted(at, at[i] + window, side="right"))
+    keep[int(np.searchsorted(at, low, side="right")):] = True
+    return keep
+
+
 def fitting_windows(alerts: DataFrame, at: Column, window: int, chunk_rows: int) -> int:
     """Windows per chunk so that the densest stretch of any pair stays within ``chunk_rows``."""
     cells = alerts.groupBy(*PAIR, (at - F.pmod(at, F.lit(window))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.times import before
 from tablewarden.plans.newest import newest
 from tablewarden.plans.ranks import FINAL_ROWS, Wanted, values_at_ranks
+from tablewarden.plans.recent import since
 from tablewarden.session import small_frame
 
 # Fixed values.
@@ -184,6 +185,13 @@ def drift_snapshots(df: DataFrame, table: str, categorical_columns: Sequence[str
     return reduce(DataFrame.unionByName, parts)
 
 
+def from_history(records: DataFrame) -> DataFrame:
+    """Snapshots as `detect` takes them, from rows of the history table."""
+    kind = "struct<null_pct:double,mean:double,max:double,top_values:array<struct<value_rank:int,value:string,value_count:bigint,pct:double>>>"
+    parsed = records.withColumn("d", F.from_json("distribution", kind))
+    return parsed.select("table_name", "column_name", "column_type", "d.*", "snapshotted_at")
+
+
 def null_change(prev: str, curr: str) -> Column:
     return F.abs(F.col(f"{curr}.null_pct") - F.col(f"{prev}.null_pct"))
 
@@ -271,8 +279,7 @@ def detect(snapshots: DataFrame, threshold: float = DRIFT_THRESHOLD,
 
 def drifts(detected: DataFrame, table: str, as_of: datetime | str, days: int = 7) -> DataFrame:
     """Drifts of a table in the last days, newest first."""
-    return (detected.filter(F.col("drifted") & (F.col("table_name") == table)
-                            & (F.col("detected_at") >= before(as_of, days * 86_400)))
+    return (since(detected, "detected_at", before(as_of, days * 86_400)).filter(F.col("drifted") & (F.col("table_name") == table))
             .select("table_name", "column_name", "drift_type", "previous_value", "current_value",
                     F.round(F.col("magnitude") * 100, 2).alias("change_magnitude_pct"), "detected_at")
             .orderBy(F.desc("detected_at"), "column_name"))

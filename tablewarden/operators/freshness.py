@@ -7,16 +7,18 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.times import (bucket_start, duration_seconds, instant, parse_iso,
                                          seconds_between)
 from tablewarden.plans.newest import newest, newest_per
+from tablewarden.session import small_frame
 
 # Default thresholds, and the panel limits in seconds.
 WARN_AFTER, FAIL_AFTER = "1h", "2h"
 PANEL_WARN, PANEL_FAIL = 3600, 7200
+RECORD = "table_name string, timestamp_column string, last_updated_at timestamp_ntz, lag_seconds double, status string, checked_at timestamp_ntz"
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,16 @@ def poll(watches: Sequence[Watch], as_of: datetime | str) -> DataFrame:
     for w in watches:
         if not w.enabled:
             continue
-        top = w.rows.agg(F.max(w.timestamp_column).cast("timestamp_ntz").alias("last_updated_at"))
+        if w.timestamp_column not in w.rows.columns:    # nothing is known of its lag, so it fails, alone
+            top = small_frame(w.rows.sparkSession, [(None,)], "last_updated_at timestamp_ntz")
+        else:
+            top = w.rows.agg(F.max(w.timestamp_column).cast("timestamp_ntz").alias("last_updated_at"))
         row = top.select(F.lit(w.table).alias("table_name"),
                          F.lit(w.timestamp_column).alias("timestamp_column"), "last_updated_at")
         parts.append(_judged(row, as_of, F.lit(duration_seconds(w.warn_after)),
                              F.lit(duration_seconds(w.fail_after))))
+    if not parts:
+        return small_frame(SparkSession.active(), [], RECORD)
     return reduce(DataFrame.unionByName, parts)
 
 

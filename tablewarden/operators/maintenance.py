@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.times import before, instant
+from tablewarden.plans.recent import between
 from tablewarden.session import cut_lineage, small_frame
 from tablewarden.sources import history
 
@@ -41,7 +42,7 @@ def preview(tables: Mapping[str, DataFrame], as_of: datetime | str, run_days: in
     parts = []
     for name, df in tables.items():
         days = retention(name, run_days, overrides, global_days)
-        expired = df.filter(F.col(history.time_column(name)) < before(as_of, days * 86_400))
+        expired = between(df, history.time_column(name), end=before(as_of, days * 86_400), before_end=True)
         parts.append(expired.agg(F.count(F.lit(1)).alias("rows_to_delete")).select(
             F.lit(name).alias("table_name"), F.lit(days).alias("retention_days"),
             before(as_of, days * 86_400).alias("cutoff"), "rows_to_delete"))
@@ -66,7 +67,7 @@ def apply(spark: SparkSession, root: str, tables: list[str], as_of: datetime | s
         days = retention(name, run_days, overrides, global_days)
         cutoff = started - timedelta(days=days)
         rows = history.read(spark, name, root)
-        late = rows.filter(F.col(history.time_column(name)) < instant(cutoff))
+        late = between(rows, history.time_column(name), end=instant(cutoff), before_end=True)
         # One row per expired calendar date.
         counts = {r[0]: r[1] for r in late.groupBy(history.PARTITION).count().collect()}
         deleted[name] = sum(counts.values())
@@ -87,7 +88,7 @@ def apply(spark: SparkSession, root: str, tables: list[str], as_of: datetime | s
                       "names array<string>, counts array<bigint>, retention_days int")
     log = row.select(F.map_from_arrays("names", "counts").alias("deleted_counts"), "retention_days",
                      instant(as_of).alias("started_at"), instant(as_of).alias("finished_at"), F.lit("ok").alias("status"))
-    history.append(log, "maintenance_logs", root)
+    history.append(history.fit(log, "maintenance_logs"), "maintenance_logs", root)
     return log
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewarden.functions.times import before, instant
 from tablewarden.plans.newest import newest
+from tablewarden.plans.recent import since
 
 PAIR = ["table_name", "alert_type"]
 # Score weights, severity weights, trend margin, window limits in minutes.
@@ -22,7 +23,7 @@ SPANS = {"count_1h": 3600, "count_24h": 24 * 3600, "count_7d": 7 * 24 * 3600}
 
 def counts(log: DataFrame, as_of: datetime | str) -> DataFrame:
     """Successful alerts per pair in the last hour, day and week, from one filtered pass."""
-    recent = log.filter(F.col("success") & (F.col("sent_at") >= before(as_of, SPANS["count_7d"])))
+    recent = since(log, "sent_at", before(as_of, SPANS["count_7d"])).filter("success")
     return recent.groupBy(*PAIR).agg(*[
         F.count_if(F.col("sent_at") >= before(as_of, s)).alias(n) for n, s in SPANS.items()])
 

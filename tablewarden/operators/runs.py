@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.times import before, hour_start, parse_iso, seconds_between
 from tablewarden.plans.newest import newest
 from tablewarden.plans.quantiles import grouped_quantiles
+from tablewarden.plans.recent import since
 
 # Callback shapes and the state names of one orchestrator.
 AIRFLOW = "struct<dag_id:string,run_id:string,state:string,start_date:string,end_date:string,duration:double>"
@@ -81,7 +82,7 @@ def listing(history: DataFrame, orchestrator: str | None = None, dag_id: str | N
 
 def success_rate(history: DataFrame, as_of: datetime | str, days: int = 7) -> DataFrame:
     """Successful share of all runs recorded in the last days, in percent."""
-    recent = history.filter(F.col("recorded_at") >= before(as_of, days * 86_400))
+    recent = since(history, "recorded_at", before(as_of, days * 86_400))
     won, all_ = F.count_if(F.col("state") == "success"), F.count(F.lit(1))
     return recent.agg(all_.alias("runs"), won.alias("successes"), F.try_divide(won * 100.0, all_).alias("success_rate"))
 

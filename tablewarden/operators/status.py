@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.times import before, instant
+from tablewarden.plans.recent import since
 
 HOURS = 24
 WARN_PASS_RATE = 0.8
@@ -21,17 +22,17 @@ def grid(freshness: DataFrame, volume: DataFrame, quality: DataFrame, schema: Da
     Each history is filtered by time and reduced to a row per table; those rows are stacked and
     merged in one more small aggregate. A pillar without records is ``ok``.
     """
-    since = before(as_of, HOURS * 3600)
-    f = freshness.filter(F.col("checked_at") >= since).groupBy("table_name").agg(
+    start = before(as_of, HOURS * 3600)
+    f = since(freshness, "checked_at", start).groupBy("table_name").agg(
         F.max_by("status", F.struct("checked_at", "id")).alias("freshness"), F.max("checked_at").alias("at"))
-    v = volume.filter(F.col("recorded_at") >= since).groupBy("table_name").agg(
+    v = since(volume, "recorded_at", start).groupBy("table_name").agg(
         F.when(F.max_by("is_anomaly", F.struct("recorded_at", "id")), "fail").otherwise("ok").alias("volume"),
         F.max("recorded_at").alias("at"))
     rate = F.count_if("passed") / F.count(F.lit(1))
-    q = quality.filter(F.col("executed_at") >= since).groupBy("table_name").agg(
+    q = since(quality, "executed_at", start).groupBy("table_name").agg(
         F.when(rate == 1, "ok").when(rate >= WARN_PASS_RATE, "warn").otherwise("fail").alias("quality"),
         F.round(rate * 100, 1).alias("quality_pass_rate"), F.max("executed_at").alias("at"))
-    s = schema.filter(F.col("detected_at") >= since).groupBy("table_name").agg(
+    s = since(schema, "detected_at", start).groupBy("table_name").agg(
         F.lit("fail").alias("schema"), F.max("detected_at").alias("at"))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f, v, q, s])
     return stacked.groupBy("table_name").agg(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tablewarden.functions.times import before, instant, micros
 from tablewarden.plans.newest import newest_per
 from tablewarden.plans.ranks import Wanted, values_at_ranks
+from tablewarden.plans.recent import since
 from tablewarden.plans.running import trailing_totals
 from tablewarden.session import cut_lineage, small_frame
 
@@ -19,7 +20,7 @@ from tablewarden.session import cut_lineage, small_frame
 WINDOW_DAYS = 7
 MIN_HISTORY = 3
 THRESHOLD = 0.3
-BACKFILL_ROWS = 10_000
+BACKFILL_PART = 10
 BACKFILL_FRACTION = 0.4
 BACKFILL_SPAN_SECONDS = 24 * 3600
 DAY = 86_400
@@ -47,7 +48,7 @@ def check(current: DataFrame, history: DataFrame, as_of: datetime | str,
 
     The time filter reaches the history scan; both join sides are one row per table.
     """
-    recent = (history.filter(F.col("recorded_at") >= before(as_of, window_days * DAY))
+    recent = (since(history, "recorded_at", before(as_of, window_days * DAY))
               .groupBy("table_name").agg(F.avg("row_count").alias("average"),
                                          F.count("row_count").alias("n")))
     limit = F.lit(float(threshold))
@@ -90,9 +91,10 @@ class BackfillWatch:
 
 
 def detect_backfill(watch: BackfillWatch, as_of: datetime | str, window_days: int = WINDOW_DAYS,
-                    sample_rows: int = BACKFILL_ROWS) -> DataFrame:
+                    sample_rows: int | None = None) -> DataFrame:
     """Are the newest rows of a table mostly old ones?
 
+    Looked at are the newest ``sample_rows`` rows, or a tenth of all (one at least) if none are asked for.
     Everything asked about the newest ``sample_rows`` non-null timestamps follows from three counts and
     from the timestamp at that rank, so the rows themselves are never sorted or gathered.
     """
@@ -101,7 +103,8 @@ def detect_backfill(watch: BackfillWatch, as_of: datetime | str, window_days: in
     times = watch.rows.select(micros(ts).alias("at"))
     facts = watch.rows.agg(F.count(ts).alias("n"), F.max(micros(ts)).alias("newest"),
                            F.count_if(ts >= cutoff).alias("recent")).first()
-    n, size = facts["n"], min(facts["n"], sample_rows)
+    n = facts["n"]
+    size = min(n, max(1, n // BACKFILL_PART) if sample_rows is None else sample_rows)
     # Microseconds of any date until the year 2255 are exact in a double.
     oldest = values_at_ranks(times, [Wanted("oldest", "at", n - size + 1, n)])["oldest"]
     row = (watch.table, size, size - min(facts["recent"], size),
@@ -122,7 +125,7 @@ def gate_backfills(checked: DataFrame, watches: Sequence[BackfillWatch], as_of:
                    window_days: int = WINDOW_DAYS, sample_rows: int | None = None) -> DataFrame:
     """An anomaly explained by a backfill stops being an anomaly and becomes an ``info`` event.
 
-    As many of the newest rows are looked at as the spike has, 10,000 at least, or ``sample_rows`` if given.
+    As many of the newest rows are looked at as the spike has, one at least, or ``sample_rows`` if given.
     Only the tables that are anomalous now are inspected: their names and spikes (at most one
     per configured table) are the only thing fetched. The checked rows are written once, so the
     tables behind them are not counted again.
@@ -134,7 +137,7 @@ def gate_backfills(checked: DataFrame, watches: Sequence[BackfillWatch], as_of:
         "table_name", spike.alias("spike")).collect() if watched else []
     found = None
     for name, rows in flagged:
-        size = max(rows, BACKFILL_ROWS) if sample_rows is None else sample_rows
+        size = max(rows, 1) if sample_rows is None else sample_rows
         one = detect_backfill(watched[name], as_of, window_days, size)
         found = one if found is None else found.unionByName(one)
     if found is None:

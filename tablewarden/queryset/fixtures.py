@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewarden.functions.times import utc_naive
+from tablewarden.sources.history import fit
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -50,11 +51,11 @@ FIXTURES = {
         FROM {events}""",
     "suppressions": """
         SELECT user_id AS id, 'svc_' || CAST(user_id % 10 AS STRING) AS table_name,
-               max(ts) + INTERVAL 2 HOUR AS suppressed_until, min(ts) AS created_at, 'reload' AS reason
-        FROM {events} WHERE event_type = 'error' GROUP BY user_id""",
+               max(ts) + user_id % 7 * INTERVAL '5' MINUTE AS suppressed_until, min(ts) AS created_at, 'reload' AS reason
+        FROM {events} GROUP BY user_id""",
     "lineage_edges": """
         SELECT DISTINCT 'svc_' || CAST(user_id % 10 AS STRING) AS table_name, 'report_' || CAST(user_id % 37 AS STRING) AS downstream
-        FROM {events} WHERE event_type = 'view'""",
+        FROM {events}""",
     # Alerts of many tables, and links between those: some run in circles.
     "table_alerts": """
         SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'tbl_' || CAST(user_id % 300 AS STRING) END AS table_name, event_type AS alert_type,
@@ -125,6 +126,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check history as rows of its history table."""
+    return fit(fixture(spark, sf_dir, "check_history").selectExpr("*", "'declared' AS check_type"), "check_results")
+
+
 def duck(name: str) -> str:
     return FIXTURES[name].format(**{t: t for t in TABLES})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewarden.queryset.fixtures import TABLES, fixture, table, with_
+from tablewarden.queryset.fixtures import TABLES, fixture, kept_checks, table, with_
 from tablewarden.queryset.registry import query
 from tablewarden.session import fresh_path
 from tablewarden.sources import documents as D
@@ -78,7 +78,7 @@ def src_file_stats(spark, sf):
     FROM check_history GROUP BY CAST(executed_at AS DATE), table_name""")
 def sink_history(spark, sf):
     root = fresh_path(spark, "history")
-    H.append(fixture(spark, sf, "check_history"), "check_results", root)
+    H.append(kept_checks(spark, sf), "check_results", root)
     back = H.read(spark, "check_results", root)
     return back.groupBy("on_date", "table_name").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tablewarden.operators import freshness as FR
 from tablewarden.operators import runs as R
 from tablewarden.queryset.alerting import DENSE, REPLAY
-from tablewarden.queryset.fixtures import EVENTS_AS_OF, table
-from tablewarden.queryset.registry import query
-from tablewarden.queryset.upkeep import AIRFLOW_SQL, airflow_callbacks, artifacts, dbt_rows, dbt_sql
+from tablewarden.queryset.fixtures import EVENTS_AS_OF, fixture, table
+from tablewarden.queryset.registry import ORACLES, query
+from tablewarden.queryset.upkeep import AIRFLOW_SQL, airflow_callbacks, artifacts, dbt_output, dbt_sql
 from tablewarden.session import fresh_path
 from tablewarden.streaming import monitors as M
 
@@ -25,15 +25,11 @@ def run(stream, spark, name):
 
 
 @query("stream_volume", """SELECT event_type AS table_name, date_trunc('day', ts) AS recorded_at, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS row_count
-    FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY event_type, date_trunc('day', ts)""")
+    FROM events GROUP BY event_type, date_trunc('day', ts)""")
 def stream_volume(spark, sf):
     path = fresh_path(spark, "stream-volume")
     M.volume_per_batch(events(spark, sf), "event_type", "ts", path).awaitTermination()
-    counted = M.volume_so_far(spark.read.parquet(f"{path}/rows"))
-    # all windows are counted; the twin asks for those that ended a day before the newest event
-    last = counted.agg(F.max("last_at").alias("last_at"))
-    closed = counted.drop("last_at").join(F.broadcast(last), F.col("window_end") <= F.col("last_at") - F.expr("INTERVAL 1 DAY"))
-    return closed.drop("last_at")
+    return M.volume_so_far(spark.read.parquet(f"{path}/rows")).drop("last_at")
 
 
 LAG = f"(epoch_us(TIMESTAMP '{EVENTS_AS_OF}') - epoch_us(max(ts))) / 1e6"
@@ -48,14 +44,29 @@ def stream_freshness(spark, sf):
     return FR.poll_keyed(seen, "table_name", "last_updated_at", EVENTS_AS_OF).select("table_name", "last_updated_at", "lag_seconds", "status")
 
 
-@query("stream_late_rows", """SELECT event_type AS table_name, count(*) AS late_rows, max(d) AS max_delay_seconds
-    FROM (SELECT event_type, CASE WHEN event_id % 10 = 0 THEN 10800 ELSE user_id % 50 END::DOUBLE AS d FROM events) WHERE d > 40 GROUP BY event_type""")
+def in_batches(rows, spark, name, count):
+    """Files in the order of ``batch``, one a micro-batch. The column itself is not part of the stream."""
+    path = fresh_path(spark, name)
+    plain = rows.drop("batch")
+    for number in range(count):
+        rows.where(F.col("batch") == number).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return M.open_files(spark, path, plain.schema, pattern="*.parquet", files_per_batch=1)
+
+
+ARRIVED = "ts + CASE WHEN event_id % 10 = 0 THEN 10800 ELSE user_id % 50 END * INTERVAL '1' SECOND"
+
+
+@query("stream_late_rows", f"""WITH a AS (SELECT event_type, ts, (day({ARRIVED}) - 1) // 8 AS batch FROM events),
+    m AS (SELECT batch, max(ts) AS newest FROM a GROUP BY batch), p AS (SELECT x.batch, max(m.newest) AS seen FROM m x JOIN m ON m.batch < x.batch GROUP BY x.batch)
+    SELECT event_type AS table_name, batch::INTEGER AS batch, count(*) AS row_count, count(*) FILTER (WHERE ts < seen - INTERVAL 30 MINUTE) AS late_rows,
+           max(seen) AS newest_before FROM a LEFT JOIN p USING (batch) GROUP BY event_type, batch""")
 def stream_late_rows(spark, sf):
-    delay = F.when(F.col("event_id") % 10 == 0, 10800).otherwise(F.col("user_id") % 50)
-    arrived = events(spark, sf).withColumn("arrived_at", F.col("ts") + F.make_dt_interval(secs=delay.cast("decimal(18,6)")))
-    late = run(M.late_rows(arrived, "ts", "arrived_at", 40).select("event_id", "event_type", "delay_seconds"), spark, "stream-late")
-    return late.groupBy(F.col("event_type").alias("table_name")).agg(
-        F.count(F.lit(1)).alias("late_rows"), F.max("delay_seconds").alias("max_delay_seconds"))
+    arriving = table(spark, sf, "events").withColumn("batch", F.floor((F.day(F.expr(ARRIVED)) - 1) / 8))
+    path = fresh_path(spark, "stream-late")
+    M.late_per_batch(in_batches(arriving, spark, "arriving", 4), "ts", path, delay_seconds=1800).awaitTermination()
+    counted = spark.read.parquet(f"{path}/rows").groupBy(F.col("event_type").alias("table_name"), "batch").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("late") == "true").alias("late_rows"))
+    before = spark.read.parquet(f"{path}/progress").select((F.col("batch") + 1).alias("batch"), F.col("newest").alias("newest_before"))
+    return counted.join(before, "batch", "left")
 
 
 @query("stream_alert_gate", REPLAY.format(log=DENSE.format(events="events")))
@@ -81,6 +92,15 @@ def stream_runs_ingest(spark, sf):
 
 @query("stream_dbt_ingest", dbt_sql())
 def stream_dbt_ingest(spark, sf):
-    pairs = as_files(artifacts(spark, sf).repartition(8), spark, "artifacts")
-    arrived = run(pairs.select("event_id", "run_results", "manifest"), spark, "stream-dbt")
-    return dbt_rows(spark, arrived)
+    """Run documents and manifests as two streams; every manifest comes a batch after its results."""
+    pairs = artifacts(spark, sf).withColumn("made_at", F.col("ts")).withColumn("batch", F.floor((F.day("ts") - 1) / 8))
+    results = in_batches(pairs.select("event_id", "made_at", "run_results", "batch"), spark, "run-results", 5)
+    manifests = in_batches(pairs.select("event_id", "made_at", "manifest", (F.col("batch") + 1).alias("batch")), spark, "manifests", 5)
+    joined = run(M.joined_artifacts(results, manifests, "event_id", EVENTS_AS_OF, "made_at", wait="20 days"), spark, "stream-dbt")
+    return dbt_output(joined)
+
+
+@query("stream_alert_recoveries", ORACLES["alert_recoveries"])
+def stream_alert_recoveries(spark, sf):
+    history = fixture(spark, sf, "check_history").withColumn("batch", F.floor((F.day("executed_at") - 1) / 11))
+    return run(M.recoveries(in_batches(history, spark, "check-history", 3)), spark, "stream-recoveries")

@@ -9,7 +9,7 @@ from tablewarden.operators import finops as C
 from tablewarden.operators import maintenance as M
 from tablewarden.operators import runs as R
 from tablewarden.operators import status as S
-from tablewarden.queryset.fixtures import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, fixture, table, with_
+from tablewarden.queryset.fixtures import EVENTS_AS_OF, LINEITEM_AS_OF, ORDERS_AS_OF, fixture, kept_checks, table, with_
 from tablewarden.queryset.registry import query
 from tablewarden.session import cut_lineage, fresh_path
 from tablewarden.sources import documents as D
@@ -132,7 +132,10 @@ def dbt_sql(where=""):
 
 def dbt_rows(spark, pairs):
     # Both outputs come from the same parsed documents: write them once, read them twice.
-    joined = cut_lineage(B.joined_results(pairs, "event_id", EVENTS_AS_OF))
+    return dbt_output(cut_lineage(B.joined_results(pairs, "event_id", EVENTS_AS_OF)))
+
+
+def dbt_output(joined):
     runs = B.run_rows(joined).select(F.lit("run").alias("kind"), F.col("run_id").alias("name"), F.col("dag_id").alias("target"),
                                      (F.col("state") == "success").alias("ok"), F.col("duration_seconds").alias("seconds"), F.col("end_time").alias("at"))
     checks = B.check_rows(joined).select(F.lit("check").alias("kind"), F.col("check_name").alias("name"), F.col("table_name").alias("target"),
@@ -173,9 +176,9 @@ def finops_daily_threshold(spark, sf):
 
 STATUS = dict(
     fr="SELECT id, table_name, status, checked_at FROM freshness_history",
-    vo="SELECT id, 'svc_' || CAST(id % 30 AS VARCHAR) AS table_name, value > 100 AS is_anomaly, ts AS recorded_at FROM (SELECT event_id AS id, value, ts FROM events WHERE event_type = 'view')",
-    qu="SELECT event_id AS id, 'svc_' || CAST(user_id % 45 AS VARCHAR) AS table_name, value >= 6 AS passed, ts AS executed_at FROM events WHERE event_type <> 'signup'",
-    sc="SELECT event_id AS id, 'svc_' || CAST(user_id % 50 AS VARCHAR) AS table_name, ts AS detected_at FROM events WHERE event_type = 'signup' AND value > 120")
+    vo="SELECT id, 'svc_' || CAST(id % 30 AS VARCHAR) AS table_name, value > 100 AS is_anomaly, ts AS recorded_at FROM (SELECT event_id AS id, value, ts FROM events)",
+    qu="SELECT event_id AS id, 'svc_' || CAST(user_id % 45 AS VARCHAR) AS table_name, value >= 6 AS passed, ts AS executed_at FROM events",
+    sc="SELECT event_id AS id, 'svc_' || CAST(CASE WHEN value > 120 THEN user_id % 50 ELSE 60 + user_id % 3 END AS VARCHAR) AS table_name, ts AS detected_at FROM events")
 DAY = f"TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 24 HOUR"
 GRID = f"""SELECT table_name, coalesce(max(freshness), 'ok') AS freshness, coalesce(max(volume), 'ok') AS volume, coalesce(max(quality), 'ok') AS quality,
       coalesce(max(sch), 'ok') AS schema, max(rate) AS quality_pass_rate, max(seen_at) AS last_checked FROM (
@@ -189,9 +192,10 @@ def pillars(spark, sf):
     e = table(spark, sf, "events")
     name = lambda c, n: F.concat(F.lit("svc_"), F.col(c) % n).alias("table_name")
     return (fixture(spark, sf, "freshness_history"),
-            e.filter("event_type = 'view'").select(F.col("event_id").alias("id"), name("event_id", 30), (F.col("value") > 100).alias("is_anomaly"), F.col("ts").alias("recorded_at")),
-            e.filter("event_type <> 'signup'").select(F.col("event_id").alias("id"), name("user_id", 45), (F.col("value") >= 6).alias("passed"), F.col("ts").alias("executed_at")),
-            e.filter("event_type = 'signup' AND value > 120").select(F.col("event_id").alias("id"), name("user_id", 50), F.col("ts").alias("detected_at")))
+            e.select(F.col("event_id").alias("id"), name("event_id", 30), (F.col("value") > 100).alias("is_anomaly"), F.col("ts").alias("recorded_at")),
+            e.select(F.col("event_id").alias("id"), name("user_id", 45), (F.col("value") >= 6).alias("passed"), F.col("ts").alias("executed_at")),
+            e.select(F.col("event_id").alias("id"), F.concat(F.lit("svc_"), F.when(F.col("value") > 120, F.col("user_id") % 50).otherwise(60 + F.col("user_id") % 3)).alias("table_name"),
+                     F.col("ts").alias("detected_at")))
 
 
 @query("status_grid", with_("freshness_history", **STATUS) + GRID)
@@ -233,7 +237,7 @@ def purge_apply(spark, sf):
     root = fresh_path(spark, "history")
     names = ("check_results", "alert_logs")
     for t in names:
-        H.append(fixture(spark, sf, PURGED[t][0]), t, root)
+        H.append(kept_checks(spark, sf) if t == "check_results" else H.fit(fixture(spark, sf, PURGED[t][0]), t), t, root)
     M.apply(spark, root, list(names), PURGE_AS_OF, overrides=DAYS)
     gone = H.read(spark, "maintenance_logs", root).select(F.explode("deleted_counts").alias("table_name", "rows_deleted"))
     kept = None

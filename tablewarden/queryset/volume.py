@@ -51,18 +51,18 @@ def volume_zscore(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("rolling_avg", "z_score")})
 
 
-def _backfill(t, c, as_of):
+def _backfill(t, c, as_of, size):
     return f"""SELECT '{t}' AS table_name, count(*) AS sample_size, min(x) AS oldest_row_ts, max(x) AS newest_row_ts,
         (epoch_us(max(x)) - epoch_us(min(x))) / 1e6 AS historical_span_seconds,
         round(count(*) FILTER (WHERE x < TIMESTAMP '{as_of}' - INTERVAL 7 DAY) / count(*), 4) AS historical_row_fraction,
         count(*) FILTER (WHERE x < TIMESTAMP '{as_of}' - INTERVAL 7 DAY) / count(*) >= 0.4
           AND (epoch_us(max(x)) - epoch_us(min(x))) / 1e6 >= 86400 AS is_backfill
-        FROM (SELECT {c} AS x FROM {t} WHERE {c} IS NOT NULL ORDER BY {c} DESC LIMIT 10000)"""
+        FROM (SELECT {c} AS x FROM {t} WHERE {c} IS NOT NULL ORDER BY {c} DESC LIMIT ({size}))"""
 
 
-@query("backfill_detect", _backfill("lineitem", "l_shipdate", ORDERS_AS_OF))
+@query("backfill_detect", _backfill("lineitem", "l_shipdate", ORDERS_AS_OF, "SELECT greatest(1, count(l_shipdate) // 10) FROM lineitem"))
 def backfill_detect(spark, sf):
-    return O.detect_backfill(O.BackfillWatch("lineitem", table(spark, sf, "lineitem"), "l_shipdate"), ORDERS_AS_OF, sample_rows=10_000)
+    return O.detect_backfill(O.BackfillWatch("lineitem", table(spark, sf, "lineitem"), "l_shipdate"), ORDERS_AS_OF)
 
 
 GATED = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
@@ -75,7 +75,7 @@ DAILY = " UNION ALL ".join(f"SELECT '{t}' AS table_name, date_trunc('day', {c})
     j AS (SELECT c.table_name, c.row_count, coalesce(n, 0) AS history_points, coalesce(a, c.row_count) AS rolling_avg FROM c LEFT JOIN h USING (table_name)),
     d AS (SELECT *, {JUDGE} AS dev FROM j),
     k AS (SELECT *, history_points >= 3 AND dev > CASE WHEN table_name = 'orders' THEN 1e12 ELSE 0.3 END AS anom FROM d),
-    b AS (""" + " UNION ALL ".join(_backfill(t, c, ORDERS_AS_OF) for t, c in GATED.items()) + """)
+    b AS (""" + " UNION ALL ".join(_backfill(t, c, ORDERS_AS_OF, f"SELECT greatest(1, ceil(row_count - rolling_avg))::BIGINT FROM d WHERE table_name = '{t}'") for t, c in GATED.items()) + """)
     SELECT k.table_name, k.row_count, history_points, round(rolling_avg, 6) AS rolling_avg, round(dev, 6) AS deviation_pct,
            anom AND NOT is_backfill AS is_anomaly, anom AND is_backfill AS is_backfill,
            CASE WHEN anom AND is_backfill THEN 'info' WHEN anom THEN 'warn' END AS severity,
@@ -90,7 +90,7 @@ def volume_backfill_gate(spark, sf):
             F.lit(t).alias("table_name"), F.col("d").cast("timestamp_ntz").alias("recorded_at"), "row_count")
         daily = part if daily is None else daily.unionByName(part)
     checked = O.check(row_counts(tables), daily, ORDERS_AS_OF, thresholds={"orders": 1e12})
-    gated = O.gate_backfills(checked, [O.BackfillWatch(t, tables[t], c) for t, c in GATED.items()], ORDERS_AS_OF, sample_rows=10_000)
+    gated = O.gate_backfills(checked, [O.BackfillWatch(t, tables[t], c) for t, c in GATED.items()], ORDERS_AS_OF)
     return gated.drop("sample_size", "oldest_row_ts", "newest_row_ts").withColumns(
         {c: F.round(c, 6) for c in ("rolling_avg", "deviation_pct")})
 

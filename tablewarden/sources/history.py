@@ -1,11 +1,21 @@
-"""History tables: fixed schemas, append by date partition, rewrite for purge."""
+"""History tables: fixed schemas, monitors' results fitted to them, append by date partition.
+
+`append` takes exactly a table's columns; anything absent or unknown raises. `fit` makes such rows of what a monitor
+returns: it knows each monitor's names, adds the time of the run and an id derived from the row's content, so that a run
+that is repeated gives the same ids.
+"""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewarden.functions.times import instant
+from tablewarden.plans.recent import PARTITION
+
 COLUMN = "struct<name:string,type:string,nullable:boolean,ordinal_position:int>"
 
 # History tables, their columns and the column that dates a row.
@@ -50,7 +60,16 @@ HISTORY = {
                       "state string, start_time timestamp_ntz, end_time timestamp_ntz, "
                       "duration_seconds double, recorded_at timestamp_ntz"),
 }
-PARTITION = "on_date"
+
+# What monitors call a column of the table, and what may stay unknown. All else a monitor returns beyond the table's
+# columns must be named under DROPPED.
+RENAMED = {"check_results": {"rule": "check_name"}, "contract_validation_results": {"version": "contract_version"},
+           "distribution_drifts": {"magnitude": "change_magnitude"}, "distribution_snapshots": {"period": "snapshotted_at"},
+           "alert_logs": {"text": "message"}}
+OPTIONAL = {"volume_records": ("dag_id",), "check_results": ("details",), "backfill_events": ("volume_record_id",),
+            "distribution_drifts": ("previous_value", "current_value"), "maintenance_logs": ("error",), "alert_logs": ("channel", "severity"),
+            "freshness_records": ("timestamp_column",), "check_suppressions": ("reason",)}
+DROPPED = {"volume_records": ("history_points",), "late_arriving_records": ("deadline",), "distribution_drifts": ("drifted",)}
 
 
 def time_column(table: str) -> str:
@@ -61,15 +80,43 @@ def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(HISTORY[table][1])
 
 
+def fit(df: DataFrame, table: str, as_of: datetime | str | None = None) -> DataFrame:
+    """A monitor's rows as rows of the history table.
+
+    The time column is the run's ``as_of`` where the monitor has none. Lists and structs in a text column become JSON;
+    a distribution snapshot's statistics become its ``distribution``. The id is a hash of all other columns unless the
+    monitor gives one. Only drifted rows are drifts.
+    """
+    if table == "distribution_drifts" and "drifted" in df.columns:
+        df = df.filter("drifted")
+    if table == "distribution_snapshots" and "distribution" not in df.columns:
+        kept = [c for c in df.columns if c not in {f.name for f in schema(table).fields} | set(RENAMED[table])]
+        df = df.withColumn("distribution", F.to_json(F.struct(*kept))).drop(*kept)
+    df = df.drop(*DROPPED.get(table, ())).withColumnsRenamed(RENAMED.get(table, {}))
+    if as_of is not None and time_column(table) not in df.columns:
+        df = df.withColumn(time_column(table), instant(as_of))
+    for f in schema(table).fields:
+        if f.name in df.columns and isinstance(f.dataType, T.StringType) and isinstance(df.schema[f.name].dataType, (T.ArrayType, T.StructType, T.MapType)):
+            df = df.withColumn(f.name, F.to_json(f.name))
+        if f.name not in df.columns and f.name in OPTIONAL.get(table, ()):
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    if "id" not in df.columns:
+        content = [F.to_json(c) if isinstance(df.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(c) for c in sorted(df.columns)]
+        df = df.withColumn("id", F.xxhash64(*content))
+    return conform(df, table)
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Columns of the history table, in order and type; absent ones become NULL."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in schema(table).fields])
+    """Columns of the history table, in order and type. Absent or unknown ones raise."""
+    want = [f.name for f in schema(table).fields]
+    absent, unknown = [c for c in want if c not in df.columns], [c for c in df.columns if c not in want]
+    if absent or unknown:
+        raise ValueError(f"not rows of {table}: absent {absent}, unknown {unknown}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema(table).fields])
 
 
 def append(df: DataFrame, table: str, root: str) -> None:
-    """Append monitor results, partitioned by date so that time filters prune files.
+    """Append rows of the table (see `fit`), partitioned by date; `plans.recent` reads only the dates asked for.
 
     Rows are first brought together by date, so one run adds few files per date instead of one
     per task and date; AQE splits a date that is too large for one file's task.

@@ -8,17 +8,21 @@ storage all executors reach.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from tablewarden.functions.times import micros, seconds_between
-from tablewarden.operators.dedup import NEVER, sent_in_chunk
+from tablewarden.functions.times import before, micros, seconds_between
+from tablewarden.operators.dbt import node_rows, result_rows
+from tablewarden.operators.dedup import NEVER, sent_in_chunk, still_needed
 from tablewarden.operators.noise import MIN_WINDOW, PAIR
+from tablewarden.session import small_frame
 from tablewarden.sources.documents import scan_results
 
 
@@ -40,14 +44,6 @@ def event_time(stream: DataFrame, column: str) -> DataFrame:
     return stream.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def volume(stream: DataFrame, key: str, ts: str, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Row count per key and window, emitted once the watermark has closed the window."""
-    counted = (event_time(stream, ts).withWatermark(ts, delay)
-               .groupBy(F.window(ts, window), F.col(key).alias("table_name")).agg(F.count(F.lit(1)).alias("row_count")))
-    return counted.select("table_name", F.col("window.start").cast("timestamp_ntz").alias("recorded_at"),
-                          F.col("window.end").cast("timestamp_ntz").alias("window_end"), "row_count")
-
-
 def volume_per_batch(stream: DataFrame, key: str, ts: str, path: str, window: str = "1 day") -> StreamingQuery:
     """Row count per key, window and micro-batch; ``volume_so_far`` adds them up.
 
@@ -82,36 +78,200 @@ def newest_per_batch(stream: DataFrame, key: str, ts: str, path: str) -> Streami
             .trigger(availableNow=True).start())
 
 
+def late_per_batch(stream: DataFrame, ts: str, path: str, delay_seconds: float = 0) -> StreamingQuery:
+    """Part rows by the stream's own progress: ``late`` are those older than the newest time of all earlier batches by
+    more than the delay. A null time is not late.
+
+    The newest time seen is kept between batches as one row a batch under ``progress``, beside the counts of rows and
+    late rows; batch n reads those below n and overwrites its own folders, so a batch that is run again gives the same.
+    The counts are observed in the pass that writes the late rows.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "batch int, newest timestamp_ntz, rows bigint, late_rows bigint"
+        done = small_frame(spark, [], schema) if number == 0 else spark.read.schema(schema).parquet(f"{path}/progress").where(F.col("batch") < number)
+        newest = done.agg(F.max("newest")).first()[0]
+        at = F.col(ts).cast("timestamp_ntz")
+        late = F.lit(False) if newest is None else F.coalesce(at < before(newest, delay_seconds), F.lit(False))
+        seen = Observation()
+        told = batch.withColumn("late", late).observe(seen, F.max(at).alias("newest"), F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late_rows"))
+        told.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={number}")
+        got = seen.get
+        row = (max([t for t in (newest, got["newest"]) if t is not None], default=None), got["rows"], got["late_rows"])
+        small_frame(spark, [row], "newest timestamp_ntz, rows bigint, late_rows bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/progress/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+
+
 def late_rows(stream: DataFrame, ts: str, arrived: str, grace_seconds: int) -> DataFrame:
-    """Side output: rows that arrived more than the grace period after their event time."""
+    """Rows that arrived more than the grace period after their event time, where the arrival time is known."""
     delay = seconds_between(F.col(ts), F.col(arrived))
     return stream.withColumn("delay_seconds", delay).filter(F.col("delay_seconds") > grace_seconds)
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """The stateful monitors need the state store that has timers, expiry and lists."""
+    spark.conf.set(STORE, ROCKS)
+
+
+class Gate(StatefulProcessor):
+    """Until when a pair is blocked is all its state; with ``forget_hours`` it expires once the pair has been quiet so long.
+
+    A frame is reduced to two integers a row. Whenever ``most`` are held, those that can no longer be sent are
+    forgotten (`still_needed`); for a busy pair few remain.
+    """
+
+    def __init__(self, window: int, forget_hours: int | None, most: int):
+        self.window, self.forget, self.most = window, forget_hours, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocked = handle.getValueState("blocked", "until bigint", ttlDurationMs=None if self.forget is None else self.forget * 3_600_000)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        blocked = self.blocked.get()[0] if self.blocked.exists() else NEVER
+        held: list[np.ndarray] = []
+        count, limit = 0, self.most
+
+        def merged() -> np.ndarray:
+            every = np.concatenate(held) if held else np.empty((0, 2), np.int64)
+            every = every[np.lexsort((every[:, 1], every[:, 0]))]
+            return every[np.append(True, every[1:, 0] != every[:-1, 0])[:len(every)]]
+
+        for frame in rows:
+            own = frame[["at", "id"]].to_numpy(np.int64)
+            held.append(own[own[:, 0] > blocked])
+            count += len(held[-1])
+            if count > limit:
+                every = merged()
+                held = [every[still_needed(every[:, 0], blocked, self.window)]]
+                count = len(held[0])
+                limit = max(self.most, 2 * count)
+        every = merged()
+        sent = every[sent_in_chunk(every[:, 0], blocked, self.window)]
+        if len(sent):
+            self.blocked.update((int(sent[-1, 0]) + self.window,))
+        yield pd.DataFrame({"table_name": key[0], "alert_type": key[1], "at": sent[:, 0], "id": sent[:, 1]})
+
+    def close(self) -> None:
+        pass
+
+
 SENT = "table_name string, alert_type string, at bigint, id bigint"
-LAST = "blocked bigint"
 
 
-def gate_alerts(stream: DataFrame, window_minutes: int = MIN_WINDOW, ts: str = "sent_at", id_col: str = "id") -> DataFrame:
-    """Alerts that are sent, with the end of the running dedup window as the only state of a pair.
+def gate_alerts(stream: DataFrame, window_minutes: int = MIN_WINDOW, ts: str = "sent_at", id_col: str = "id",
+                forget_hours: int | None = None, most_held: int = 100_000) -> DataFrame:
+    """Alerts that are sent. Within a batch they are judged by time, whatever their order; only pair, time and id travel.
+
+    ``forget_hours`` goes by the clock, so give it to queries that keep running: under a trigger that ends with its input
+    Spark would go on making empty batches.
+    """
+    slim = stream.select(*PAIR, micros(F.col(ts)).alias("at"), F.col(id_col).cast("bigint").alias("id"))
+    keep_state_on_disk(stream.sparkSession)
+    gate = Gate(window_minutes * 60_000_000, forget_hours, most_held)
+    return slim.groupBy(*PAIR).transformWithStateInPandas(gate, SENT, "append", "none" if forget_hours is None else "processingTime")
+
+
+class Turns(StatefulProcessor):
+    """Failures and recoveries of one check, as `operators.recoveries.events` has them.
+
+    State: the outcome of the current run, when and with how many results. Results of a batch are taken in order of
+    time and id; one older than the newest taken so far comes too late and is left out. A failure that lasts sets a
+    timer: once event time has passed it, a reminder goes out.
+    """
 
-    Only pair, time and id reach the state function; a batch is as large as the source's batch
-    limit allows, and within it only the alerts that are sent are visited one by one.
+    def __init__(self, remind_seconds: float | None):
+        self.remind = remind_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "passed boolean, since bigint, results bigint, at bigint, id bigint, timer bigint")
+
+    def frame(self, found: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(found, columns=["table_name", "check_name", "event", "at", "id", "failing_since", "failed_results"])
+        return out.astype({"at": "int64", "id": "int64", "failing_since": "Int64", "failed_results": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        run = self.run.get() if self.run.exists() else None
+        parts = [f[["at", "id", "passed"]] for f in rows]
+        batch = pd.concat(parts).sort_values(["at", "id"])
+        at, ident, ok = batch["at"].to_numpy(np.int64), batch["id"].to_numpy(np.int64), batch["passed"].to_numpy(bool)
+        if run is not None:
+            new = (at > run[3]) | ((at == run[3]) & (ident > run[4]))
+            at, ident, ok = at[new], ident[new], ok[new]
+        if not len(at):
+            return
+        found = []
+        passed, since, results, timer = (None, 0, 0, None) if run is None else (run[0], run[1], run[2], run[5])
+        # only where the outcome turns is there anything to do
+        turns = np.flatnonzero(np.append(passed is None or ok[0] != passed, ok[1:] != ok[:-1]))
+        for k, start in enumerate(turns):
+            results += int(start) - (int(turns[k - 1]) if k else 0)
+            if ok[start] and passed is False:
+                found.append((*key, "recovered", int(at[start]), int(ident[start]), since, results))
+            elif not ok[start]:
+                found.append((*key, "failed", int(at[start]), int(ident[start]), None, None))
+            passed, since, results = bool(ok[start]), int(at[start]), 0
+        results += len(at) - (int(turns[-1]) if len(turns) else 0)
+        if self.remind is not None and len(turns):
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = None if passed else since // 1000 + int(self.remind * 1000)
+            # a timer that lies behind would never go off
+            if timer is not None and timer <= timerValues.getCurrentWatermarkInMs():
+                timer = timerValues.getCurrentWatermarkInMs() + 1
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        self.run.update((passed, since, results, int(at[-1]), int(ident[-1]), timer))
+        if found:
+            yield self.frame(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, since, results, at, ident, _ = self.run.get()
+        self.run.update((passed, since, results, at, ident, None))
+        if not passed:
+            yield self.frame([(*key, "reminder", expiredTimerInfo.getExpiryTimeInMs() * 1000, ident, since, results)])
+
+    def close(self) -> None:
+        pass
+
+
+TURNS = "table_name string, check_name string, event string, at bigint, id bigint, failing_since bigint, failed_results bigint"
+
+
+def recoveries(stream: DataFrame, time_col: str = "executed_at", id_col: str = "id", passed: str = "passed",
+               remind_seconds: float | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Failed and recovered checks as they turn, in the columns of `operators.recoveries.events`; with
+    ``remind_seconds`` also a reminder for every failure that lasts so long in event time. Results without a time or
+    outcome are left out."""
+    timed = stream.where(F.col(time_col).isNotNull() & F.col(passed).isNotNull())
+    seen = event_time(timed, time_col).withWatermark(time_col, delay) if remind_seconds is not None else timed
+    slim = seen.select("table_name", "check_name", micros(F.col(time_col)).alias("at"), F.col(id_col).cast("bigint").alias("id"), F.col(passed).alias("passed"),
+                       *([time_col] if remind_seconds is not None else []))
+    keep_state_on_disk(stream.sparkSession)
+    told = slim.groupBy("table_name", "check_name").transformWithStateInPandas(Turns(remind_seconds), TURNS, "append", "none" if remind_seconds is None else "eventTime")
+    clock = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return told.select("table_name", "check_name", "event", clock("at").alias("at"), "id", clock("failing_since").alias("failing_since"),
+                       ((F.col("at") - F.col("failing_since")) / F.lit(1e6)).alias("down_seconds"), "failed_results")
+
+
+def joined_artifacts(results: DataFrame, manifests: DataFrame, key: str, as_of: datetime | str, made_at: str, wait: str = "2 days") -> DataFrame:
+    """Streams of run documents and of manifests, joined result by node as `operators.dbt.joined_results` does.
+
+    ``made_at`` is the time both documents carry. Whichever comes first waits in state until the other one is there, at
+    most ``wait`` in event time on either side; results without a node are neither runs nor checks and are not returned.
     """
-    window = window_minutes * 60_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blocked = state.get[0] if state.exists else NEVER
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        at = rows["at"].to_numpy()
-        keep = sent_in_chunk(at, blocked, window)
-        if keep:
-            blocked = int(at[keep[-1]]) + window
-        state.update((blocked,))
-        yield rows.iloc[keep][["table_name", "alert_type", "at", "id"]]
-
-    slim = stream.select(*PAIR, micros(F.col(ts)).alias("at"), F.col(id_col).alias("id"))
-    return slim.groupBy(*PAIR).applyInPandasWithState(step, SENT, LAST, "append", GroupStateTimeout.NoTimeout)
+    slack = F.expr(f"INTERVAL {wait}")
+    left = event_time(results, made_at).withWatermark(made_at, wait)
+    right = event_time(manifests, made_at).withWatermark(made_at, wait)
+    ours = result_rows(left, key, as_of, carry=[made_at]).withColumnRenamed(made_at, "result_made")
+    theirs = node_rows(right, key, carry=[made_at]).withColumnsRenamed({made_at: "node_made", key: "node_key", "unique_id": "node_id"})
+    near = (F.col("node_made") >= F.col("result_made") - slack) & (F.col("node_made") <= F.col("result_made") + slack)
+    return ours.join(theirs, (F.col(key) == F.col("node_key")) & (F.col("unique_id") == F.col("node_id")) & near).drop("node_key", "node_id", "node_made", "result_made")
 
 
 def ingest_scan_results(stream: DataFrame, body: str = "body") -> DataFrame:

@@ -262,6 +262,41 @@ def test_sql_check_results_that_are_no_numbers(spark):
     assert got == [(str(i), p, m) for i, (_, _, p, m) in enumerate(cases)]
 
 
+def test_each_sql_check_fails_alone_and_says_why(spark):
+    t = small_frame(spark, [(1, "a"), (2, "b")], "n int, s string")
+    cases = {"fine": ("SELECT count(*) FROM orders", "result == 2", True), "qualified": ("SELECT max(orders.n) AS m FROM public.orders WHERE orders.n > 0", "result == 2", True),
+             "alias": ("SELECT max(o.n) FROM `public`.orders AS o JOIN orders p ON o.n = p.n", "result == 2", True),
+             "cte": ("WITH orders AS (SELECT 7 AS n) SELECT n FROM orders", "result == 7", True), "subquery": ("SELECT (SELECT max(n) FROM public.orders) AS m", "result == 2", True),
+             "text": ("SELECT 'FROM public.orders' AS x", "result == 0", False), "no_rows": ("SELECT n FROM orders WHERE n > 9", "result == 0", True),
+             "run_time": ("SELECT raise_error('boom')", "result == 0", False), "overflow": ("SELECT cast(s AS int) FROM orders", "result == 0", False),
+             "renamed": ("SELECT max(gone) FROM orders", "result == 0", False), "unknown": ("SELECT 1 FROM nowhere.at_all", "result == 1", False),
+             "syntax": ("SELEC 1", "result == 1", False), "judge": ("SELECT 1", "result is None", False)}
+    got = {r.check_name: r for r in C.run_sql_checks(spark, [C.SqlCheck(k, q, a) for k, (q, a, _) in cases.items()], {"public.orders": t}).collect()}
+    assert {k: r.passed for k, r in got.items()} == {k: p for k, (_, _, p) in cases.items()}
+    wrong = {k for k, r in got.items() if r.details is not None}
+    assert wrong == {"run_time", "overflow", "renamed", "unknown", "syntax", "judge"} and "boom" in got["run_time"].details
+    assert C.run_sql_checks(spark, [], {}).count() == 0
+
+
+def test_bare_name_finds_the_qualified_rule_table_and_errors_are_told_from_failures(spark):
+    t = small_frame(spark, [(1,), (None,)], "n int")
+    rules = (K.SqlRule("shop", "SELECT count(*) AS c FROM shop.public.orders WHERE n IS NULL"), K.SqlRule("broken", "SELECT count(*) AS c FROM public.gone"), K.SqlRule("good", "SELECT count(n) AS c FROM public.orders", "result == 1"))
+    got = {r.rule: (r.passed, r.detail.startswith("error:")) for r in K.validate(spark, [K.Contract("c", "orders", rules=rules)], {"orders": t}).collect()}
+    assert got == {"shop": (False, False), "broken": (False, True), "good": (True, False)}
+
+
+def test_checks_of_absent_tables_and_columns_fail_alone(spark):
+    t = small_frame(spark, [(1,)], "n int")
+    lines = [C.declare("t", "row_count = 1"), C.declare("t", "max(gone) < 5"), C.declare("gone", "row_count > 0"), C.declare("t", "duplicate_count(gone) = 0"), C.declare("t", "values in (n) must exist in gone (n)")]
+    got = C.run_suite({"t": t}, lines, AS_OF)
+    assert {r.rule: r.passed for r in got.where("table_name = 't'").collect()} == {c.title: c is lines[0] for c in lines if c.table == "t"} and got.count() == 5
+    assert C.run_suite({"t": t}, [], AS_OF).count() == 0 and FR.poll([], AS_OF).count() == 0
+    lag = FR.poll([FR.Watch("t", t, "gone"), FR.Watch("u", small_frame(spark, [(AS_OF,)], "x string").select(F.col("x").cast("timestamp_ntz").alias("ts")), "ts")], AS_OF)
+    assert values(lag, "table_name", "status") == [("t", "fail"), ("u", "ok")]
+    with pytest.raises(ValueError):
+        C.run_suite({"t": t}, [C.Check("t", "invalid_count", "n")], AS_OF)
+
+
 def test_contract_sql_rule_counts_null_as_zero(spark):
     t = small_frame(spark, [("x", None)], "s string, n int")
     rules = tuple(K.SqlRule(f"r{i}", f"SELECT {c} FROM {{t}}", a) for i, (c, a) in enumerate([("n", "result == 0"), ("s", "result == 0"), ("s", "result != 0"), ("nowhere", "result != 0")]))
