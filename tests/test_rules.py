@@ -323,7 +323,7 @@ def test_backfill_gate(spark):
     new = old.filter("ts >= '2024-01-09'")
     checked = small_frame(spark, [("old", 9, 3, 3.0, 2.0, True), ("new", 9, 3, 3.0, 2.0, True), ("calm", 3, 3, 3.0, 0.0, False), ("unwatched", 9, 3, 3.0, 2.0, True)],
                           "table_name string, row_count bigint, history_points bigint, rolling_avg double, deviation_pct double, is_anomaly boolean")
-    gated = V.gate_backfills(checked, [V.BackfillWatch(n, t, "ts") for n, t in (("old", old), ("new", new), ("calm", old))], AS_OF)
+    gated = V.gate_backfills(checked, [V.BackfillWatch(n, t, "ts") for n, t in (("old", old), ("new", new), ("calm", old))], AS_OF, sample_rows=10_000)
     assert values(gated, "table_name", "is_anomaly", "is_backfill", "severity") == [
         ("calm", False, False, None), ("new", True, False, "warn"), ("old", False, True, "info"), ("unwatched", True, False, "warn")]
     assert values(V.backfill_events(gated, AS_OF), "table_name", "row_count", "historical_row_fraction") == [("old", 9, round((400 - 169) / 400, 4))]
