@@ -74,8 +74,8 @@ def op9_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # pages has no capture time: seconds from an epoch, by id
-    return capture_index(table(spark, sf_dir, "pages"), F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0)))
+    # pages has no capture time: seconds from an epoch, by id, within some thirty years
+    return capture_index(table(spark, sf_dir, "pages"), F.lit(1_700_000_000) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1_000_000_000)))
 
 
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tablewarden.session import cut_lineage, fresh_path
 
 ARCHIVE_BYTES = 8 << 20
+PIECE = 1 << 16
 ENTRY = "url_key string, capture long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -63,8 +64,13 @@ def parse(data: bytes, archive: str) -> Iterator[tuple]:
     import zlib
     at = 0
     while at < len(data):
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data[at:]) if len(data) - at < 1 << 16 else member.decompress(memoryview(data)[at:])
+        member, parts, end = zlib.decompressobj(31), [], at
+        while not member.eof:  # in pieces: what is left over after a record is copied
+            if end >= len(data):
+                raise ValueError(f"{archive} ends inside the record at {at}")
+            parts.append(member.decompress(data[end:end + PIECE]))
+            end += PIECE
+        raw = b"".join(parts)
         head, _, body = raw.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = body[:int(fields["Content-Length"])]
@@ -75,7 +81,7 @@ def parse(data: bytes, archive: str) -> Iterator[tuple]:
         number = lambda s: int(s[10:-1]) if len(s) > 11 else None
         yield (url_key(fields["WARC-Target-URI"]), int(pd.Timestamp(fields["WARC-Date"]).timestamp()), number(fields["WARC-Record-ID"]),
                int(fields["X-Payload-Length"]), said, kind, number(fields["WARC-Refers-To"]) if kind == "revisit" else None, archive, at)
-        at = len(data) - len(member.unused_data)
+        at = min(end, len(data)) - len(member.unused_data)
 
 
 def merge(runs: list[list], key) -> Iterator:
@@ -159,7 +165,8 @@ def capture_index(pages: DataFrame, capture: Column, id_column: str = "page_id",
 
     names = [c.split()[0] for c in ENTRY.split(", ")]
     kinds = [pa.string() if c.endswith("string") else pa.int64() for c in ENTRY.split(", ")]
-    runs = cut_lineage(archives.repartition("archive").mapInArrow(read, ENTRY))
+    # a given number of parts stays; without one, a list of names is so small that it would be read in one task
+    runs = cut_lineage(archives.repartition(max(1, -(-archives.count() // 4)), "archive").mapInArrow(read, ENTRY))
     ranges = max(1, -(-runs.count() // range_rows))
     # the sort only brings a range's slice of each run together, in the run's own order
     slices = runs.repartitionByRange(ranges, "url_key", "capture", "archive", "offset").sortWithinPartitions("archive", "url_key", "capture", "offset")

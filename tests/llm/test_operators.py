@@ -1,6 +1,9 @@
 """Operators against brute force on small tables with nulls, empty texts, repeats and a clashing column."""
 
+import base64
+import hashlib
 import re
+import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -198,6 +201,16 @@ def test_archives(spark):
         [(1, "http://b.a/x", "p"), (2, "http://b.a/x", "p"), (3, None, None), (4, "z", ""), (None, "z", "q")], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in capture_index(pages, F.lit(5)).collect()}
     assert got == {1: (1, "revisit", 2), 2: (1, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), None: (1, "response", None)}
+    rng = np.random.default_rng(3)
+    sizes = {10**13 + i: int(n) for i, n in enumerate([0, 1, 65_535, 65_536, 3_000_000, *rng.integers(0, 90_000, 60)])}
+    noisy = spark.createDataFrame([(k, f"http://h{k % 7}.a/{k}", "".join(map(chr, rng.integers(32, 300, n))), 1) for k, n in sizes.items()], "page_id long, url string, html string, capture int")
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    noisy.repartition(2).write.parquet(f"{folder}/pages.parquet")
+    got = {r.page_id: r for r in queries.op1_warc_index(spark, folder).collect()}
+    for r in noisy.collect():
+        body = r.html.encode()
+        assert (got[r.page_id].payload_bytes, got[r.page_id].payload_digest) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+    assert queries.capture_index(noisy.limit(0), F.lit(5)).count() == 0
     runs = [sorted(np.random.default_rng(s).integers(0, 9, s).tolist()) for s in range(9)]
     assert list(merge(runs, lambda v: v)) == sorted(sum(runs, []))
 
