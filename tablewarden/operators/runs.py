@@ -28,9 +28,19 @@ def _or_unknown(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(UNKNOWN))
 
 
+def readable(body: str) -> Column:
+    """Is the text one JSON object? A text that is none would be read as a document of NULLs."""
+    return F.coalesce(F.try_parse_json(F.col(body)).isNotNull() & F.ltrim(F.col(body)).startswith("{"), F.lit(False))
+
+
+def unreadable(callbacks: DataFrame, body: str = "body") -> DataFrame:
+    """The callbacks that give no run: NULL, broken JSON, or JSON that is no object."""
+    return callbacks.filter(~readable(body))
+
+
 def from_airflow(callbacks: DataFrame, body: str = "body") -> DataFrame:
-    """Callback documents to runs; unreadable JSON is dropped, absent ids become ``unknown``."""
-    d = callbacks.withColumn("d", F.from_json(body, AIRFLOW)).filter(F.col("d").isNotNull())
+    """Callback documents to runs; unreadable ones (see `unreadable`) give none, absent ids become ``unknown``."""
+    d = callbacks.filter(readable(body)).withColumn("d", F.from_json(body, AIRFLOW))
     return d.select(*[c for c in callbacks.columns if c != body], F.lit("airflow").alias("orchestrator"),
                     _or_unknown("d.dag_id").alias("dag_id"), _or_unknown("d.run_id").alias("run_id"),
                     _or_unknown("d.state").alias("state"), parse_iso(F.col("d.start_date")).alias("start_time"),
@@ -38,7 +48,7 @@ def from_airflow(callbacks: DataFrame, body: str = "body") -> DataFrame:
 
 
 def from_prefect(callbacks: DataFrame, body: str = "body") -> DataFrame:
-    d = callbacks.withColumn("d", F.from_json(body, PREFECT)).filter(F.col("d").isNotNull())
+    d = callbacks.filter(readable(body)).withColumn("d", F.from_json(body, PREFECT))
     state = _or_unknown("d.state")
     for theirs, ours in PREFECT_STATES.items():
         state = F.when(F.col("d.state") == theirs, ours).otherwise(state)

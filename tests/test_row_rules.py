@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tablewarden.operators import digest as G
 from tablewarden.operators import row_rules as R
+from tablewarden.operators import runs as U
+from tablewarden.session import small_frame
 from tests.conftest import values
 
 RULES = [R.RowRule("order", "a <= b"), R.RowRule("either", "a IS NOT NULL OR b > 5"), R.RowRule("lenient", "b < 100", most_failed=50), R.RowRule("number", "a + b"),
@@ -57,3 +59,11 @@ def test_weekly_digest_levels_add_up(spark):
     assert totals == {level: (160, 52) for level in ("table", "pillar", "week")}
     assert got.where("week <> date_trunc('week', week)").isEmpty()
     assert got.where("level = 'week' and (pillar is not null or table_name is not null)").isEmpty()
+
+
+def test_unreadable_callbacks_give_no_run(spark):
+    bodies = ['{"dag_id": "d", "run_id": "r", "state": "success", "duration": 3.5}', "{}", " {\"dag_id\": \"x\"}", "", None, "not json", '{"dag_id": "cut', "[1]", '"text"', "null", '{"dag_id": "e", "duration": "long"}']
+    df = small_frame(spark, list(enumerate(bodies)), "k int, body string")
+    assert values(U.from_airflow(df), "k", "dag_id", "duration_seconds") == [(0, "d", 3.5), (1, "unknown", None), (10, "e", None), (2, "x", None)]
+    assert {r.k for r in U.unreadable(df).collect()} == {3, 4, 5, 6, 7, 8, 9}
+    assert values(U.from_prefect(df), "k") == [(0,), (1,), (10,), (2,)]
