@@ -102,19 +102,21 @@ def percentiles(df: DataFrame, columns: Sequence[str], final_rows: int = FINAL_R
 
 
 def bucket_bounds(low: float, high: float, buckets: int = BUCKETS) -> list[tuple[float, float]]:
+    """Between neighbours of one list of edges, of which the last is the maximum itself: no value is between or beyond them."""
     width = (high - low) / buckets
-    starts = [low + i * width for i in range(buckets)]
-    return [(s, s + width) for s in starts]
+    edges = [low + i * width for i in range(buckets)] + [high]
+    return list(zip(edges, edges[1:]))
 
 
 def histogram(df: DataFrame, columns: Sequence[str],
               bounds: Sequence[tuple[float | None, float | None]] | None = None) -> DataFrame:
-    """Ten equal-width buckets per column, the last one closed; none for a constant column.
+    """Ten equal-width buckets per column, the last one closed; none for a constant column. NaN is in no bucket.
 
     One scan for the bounds unless they are given, one for the conditional counts of all columns.
     """
     if bounds is None:
-        flat = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
+        number = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
+        flat = df.agg(*[f(number(c)).alias(f"{n}{i}") for i, c in enumerate(columns)
                         for n, f in (("lo", F.min), ("hi", F.max))]).first()
         bounds = list(zip(flat[0::2], flat[1::2]))
     asked, rows = [], []

@@ -169,9 +169,9 @@ def dist_percentiles(spark, sf):
 
 
 def hist_sql(t, c):
-    return f"""SELECT '{c}' AS column_name, CAST(i + 1 AS INTEGER) AS bucket, round(any_value(s), 4) AS range_low, round(any_value(s + w), 4) AS range_high,
-        count(*) FILTER (WHERE {c} >= s AND ({c} < s + w OR (i = 9 AND {c} <= s + w))) AS count
-        FROM {t}, (SELECT i, lo + i * ((hi - lo) / 10) AS s, (hi - lo) / 10 AS w FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {t}), range(10) r(i)) b GROUP BY i"""
+    return f"""SELECT '{c}' AS column_name, CAST(i + 1 AS INTEGER) AS bucket, round(any_value(s), 4) AS range_low, round(any_value(e), 4) AS range_high,
+        count(*) FILTER (WHERE {c} >= s AND ({c} < e OR i = 9)) AS count
+        FROM {t}, (SELECT i, lo + i * ((hi - lo) / 10) AS s, CASE i WHEN 9 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 10) END AS e FROM (SELECT min({c}) AS lo, max({c}) AS hi FROM {t}), range(10) r(i)) b GROUP BY i"""
 
 
 @query("dist_histogram", with_("dirty") + " UNION ALL ".join(hist_sql(t, c) for t, cs in NUMERIC.items() for c in cs))

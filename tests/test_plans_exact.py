@@ -52,6 +52,18 @@ def test_percentile_ranks(spark, n):
         assert row[p] == (sorted(data)[max(1, int(n * share)) - 1] if n else None)
 
 
+def test_histogram_loses_no_value_at_any_edge(spark):
+    rng = random.Random(12)
+    for _ in range(2000):
+        low = rng.uniform(-1, 1) * 10 ** rng.randint(-6, 6)
+        high = low + rng.random() * 10 ** rng.randint(-6, 6)
+        if high > low:
+            edges = D.bucket_bounds(low, high)
+            assert edges[0][0] == low and edges[-1][1] == high and all(a[1] == b[0] for a, b in zip(edges, edges[1:]))
+    data = [0.1, 0.7, 0.1 + 0.6 / 10 * 3, float("nan"), None, 0.64]
+    assert sum(r["count"] for r in D.histogram(small_frame(spark, [(v,) for v in data], "v double"), ["v"]).collect()) == 4
+
+
 def test_histogram_counts_every_row_once(spark):
     data = [0.0, 10.0, 10.0] + [i / 10 for i in range(100)]
     bars = D.histogram(small_frame(spark, [(v,) for v in data], "v double"), ["v"])
