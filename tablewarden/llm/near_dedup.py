@@ -129,8 +129,9 @@ def rare_shingles(content: DataFrame, similarity: float, bins: int = 1 << 18) ->
             order = np.lexsort((element, held.value[element % bins], doc))
             wanted = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
             rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = order[rank < wanted[doc]]
-            yield pa.RecordBatch.from_arrays([pa.array(element[kept]), batch.column("key").take(pa.array(doc[kept])), pa.array(rank[kept])], names=["bucket", "key", "place"])
+            early = rank < wanted[doc]
+            kept = order[early]
+            yield pa.RecordBatch.from_arrays([pa.array(element[kept]), batch.column("key").take(pa.array(doc[kept])), pa.array(rank[early])], names=["bucket", "key", "place"])
 
     return content.mapInArrow(first, "bucket long, key long, place long")
 
