@@ -51,6 +51,28 @@ def joined_results(artifacts: DataFrame, key: str, as_of: datetime | str, result
     return result_rows(artifacts, key, as_of, results).join(node_rows(artifacts, key, manifest), [key, "unique_id"], "left")
 
 
+def matched_results(pairs: DataFrame, key: str, as_of: datetime | str, results: str = "run_results",
+                    manifest: str = "manifest") -> DataFrame:
+    """One row per result that has a node, of pairs whose two documents stand in one row.
+
+    Results keyed by node id are zipped with the nodes, which looks up both sides by hash: nothing is
+    shuffled, and a manifest is not searched once per result.
+    """
+    doc = pairs.select(key, F.from_json(results, RESULTS).alias("d"), F.from_json(manifest, MANIFEST).alias("m"))
+    at = F.coalesce(parse_iso(F.col("d.metadata.generated_at")), instant(as_of))
+    named = F.filter("d.results", lambda r: r["unique_id"].isNotNull())
+    flat = doc.select(key, F.col("d.metadata.invocation_id").alias("invocation_id"), at.alias("at"), named.alias("r"),
+                      F.transform(named, lambda r: r["unique_id"]).alias("ids"), known_nodes(F.col("m")).alias("nodes"))
+    ids = F.array_distinct("ids")
+    single = F.map_from_arrays("ids", F.transform("r", lambda r: F.array(r)))
+    several = F.map_from_arrays(ids, F.transform(ids, lambda k: F.filter("r", lambda r: r["unique_id"] == k)))
+    by_node = F.when(F.size(ids) == F.size("ids"), single).otherwise(several)
+    fields = ("unique_id", "status", "execution_time", "message")
+    met = F.map_zip_with(by_node, "nodes", lambda _, found, node: F.transform(found, lambda r: F.struct(*(r[f].alias(f) for f in fields), node.alias("node"))))
+    rows = F.flatten(F.filter(F.map_values(met), lambda found: found.isNotNull()))
+    return flat.select(key, "invocation_id", "at", F.inline(rows)).where(F.col("node").isNotNull())
+
+
 def run_rows(joined: DataFrame) -> DataFrame:
     """Models, seeds and snapshots as orchestrator runs."""
     mine = joined.filter(F.col("node.resource_type").isin(*RUN_KINDS))

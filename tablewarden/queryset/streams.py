@@ -9,7 +9,7 @@ from tablewarden.operators import runs as R
 from tablewarden.queryset.alerting import DENSE, REPLAY
 from tablewarden.queryset.fixtures import EVENTS_AS_OF, fixture, table
 from tablewarden.queryset.registry import ORACLES, query
-from tablewarden.queryset.upkeep import AIRFLOW_SQL, airflow_callbacks, artifacts, dbt_output, dbt_sql
+from tablewarden.queryset.upkeep import AIRFLOW_SQL, airflow_callbacks, artifacts_of, dbt_output, dbt_sql
 from tablewarden.session import fresh_path
 from tablewarden.streaming import monitors as M
 
@@ -44,13 +44,16 @@ def stream_freshness(spark, sf):
     return FR.poll_keyed(seen, "table_name", "last_updated_at", EVENTS_AS_OF).select("table_name", "last_updated_at", "lag_seconds", "status")
 
 
-def in_batches(rows, spark, name, count):
-    """Files in the order of ``batch``, one a micro-batch. The column itself is not part of the stream."""
+def in_batches(rows, spark, name, count, files=1):
+    """Files in the order of ``batch``, ``files`` a micro-batch. The column itself is not part of the stream."""
     path = fresh_path(spark, name)
     plain = rows.drop("batch")
     for number in range(count):
-        rows.where(F.col("batch") == number).drop("batch").coalesce(1).write.mode("append").parquet(path)
-    return M.open_files(spark, path, plain.schema, pattern="*.parquet", files_per_batch=1)
+        rows.where(F.col("batch") == number).drop("batch").coalesce(files).write.mode("append").parquet(path)
+        # tasks without rows write no file, and a micro-batch goes by their number
+        for _ in range(len(spark.read.schema(plain.schema).parquet(path).inputFiles()), (number + 1) * files):
+            plain.where(F.lit(False)).write.mode("append").parquet(path)
+    return M.open_files(spark, path, plain.schema, pattern="*.parquet", files_per_batch=files)
 
 
 ARRIVED = "ts + CASE WHEN event_id % 10 = 0 THEN 10800 ELSE user_id % 50 END * INTERVAL '1' SECOND"
@@ -93,11 +96,18 @@ def stream_runs_ingest(spark, sf):
 @query("stream_dbt_ingest", dbt_sql())
 def stream_dbt_ingest(spark, sf):
     """Run documents and manifests as two streams; every manifest comes a batch after its results."""
-    pairs = artifacts(spark, sf).withColumn("made_at", F.col("ts")).withColumn("batch", F.floor((F.day("ts") - 1) / 8))
-    results = in_batches(pairs.select("event_id", "made_at", "run_results", "batch"), spark, "run-results", 5)
-    manifests = in_batches(pairs.select("event_id", "made_at", "manifest", (F.col("batch") + 1).alias("batch")), spark, "manifests", 5)
-    joined = run(M.joined_artifacts(results, manifests, "event_id", EVENTS_AS_OF, "made_at", wait="20 days"), spark, "stream-dbt")
-    return dbt_output(joined)
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    files = max(spark.sparkContext.defaultParallelism, e.rdd.getNumPartitions())
+    # rows are dealt out once, before they become documents
+    dealt = fresh_path(spark, "events-by-batch")
+    e.withColumn("batch", F.floor((F.day("ts") - 1) / 8).cast("int")).repartition(files).write.partitionBy("batch").parquet(dealt)
+    days = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in e.dtypes)}, batch int").parquet(dealt)
+    pairs = artifacts_of(days, "batch").withColumn("made_at", F.col("ts"))
+    results = in_batches(pairs.select("event_id", "made_at", "run_results", "batch"), spark, "run-results", 5, files)
+    manifests = in_batches(pairs.select("event_id", "made_at", "manifest", (F.col("batch") + 1).alias("batch")), spark, "manifests", 5, files)
+    path = fresh_path(spark, "stream-dbt")
+    M.artifacts_per_batch(results, manifests, "event_id", EVENTS_AS_OF, "made_at", path, wait="20 days").awaitTermination()
+    return dbt_output(spark.read.parquet(f"{path}/rows"))
 
 
 @query("stream_alert_recoveries", ORACLES["alert_recoveries"])

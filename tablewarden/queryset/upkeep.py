@@ -107,8 +107,11 @@ def runs_sla_misses(spark, sf):
 
 
 def artifacts(spark, sf):
+    return artifacts_of(table(spark, sf, "events"))
+
+
+def artifacts_of(e, *carry):
     """One artifact pair per event: a model, a test on it, and a source known only to ``sources``."""
-    e = table(spark, sf, "events")
     model, test, source = (F.concat(F.lit(p), F.col("user_id")) for p in ("model.shop.m", "test.shop.t", "source.shop.s"))
     good = F.when(F.col("event_type") == "click", "success").when(F.col("event_type") == "view", "pass").otherwise("error")
     result = lambda uid: F.struct(uid.alias("unique_id"), good.alias("status"), F.col("value").alias("execution_time"), F.col("event_type").alias("message"))
@@ -118,7 +121,7 @@ def artifacts(spark, sf):
     node = lambda kind, on=None: F.struct(F.lit(kind).alias("resource_type"), (F.lit(None).cast("string") if on is None else on).alias("attached_node"))
     manifest = F.to_json(F.struct(F.create_map(model, node("model"), test, node("test", attached)).alias("nodes"),
                                   F.create_map(source, node("snapshot")).alias("sources")))
-    return e.select("event_id", "ts", results.alias("run_results"), manifest.alias("manifest"))
+    return e.select("event_id", "ts", *carry, results.alias("run_results"), manifest.alias("manifest"))
 
 
 GOOD = "event_type IN ('click', 'view')"

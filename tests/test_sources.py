@@ -22,6 +22,7 @@ from tablewarden.operators import status as ST2
 from tablewarden.operators import volume as V
 from tablewarden.queryset.fixtures import fixture, kept_checks
 from tablewarden.queryset.kept import run_all
+from tablewarden.queryset.streams import in_batches
 from tablewarden.queryset.upkeep import artifacts
 from tablewarden.session import cut_lineage, shared_folder, small_frame
 from tablewarden.sources import documents as D
@@ -320,3 +321,53 @@ def test_results_that_come_before_their_manifest_still_join(spark):
     joined = run(spark, ST.joined_artifacts(in_turn(spark, results), in_turn(spark, manifests), "event_id", "2024-01-31 00:00:00", "made_at", wait="40 days"))
     want = B.joined_results(pairs, "event_id", "2024-01-31 00:00:00").where("node is not null")
     assert values(joined, "event_id", "unique_id", "status", "at") == values(want, "event_id", "unique_id", "status", "at")
+
+
+def test_results_are_matched_with_nodes_within_a_pair(spark):
+    results = json.dumps({"metadata": {"invocation_id": "i", "generated_at": "2024-01-02T03:04:05Z"}, "results": [
+        {"unique_id": "model.a", "status": "success", "execution_time": 1.5}, {"unique_id": "test.b", "status": "fail", "message": "m"}, {"unique_id": "source.c", "status": "pass"},
+        {"unique_id": "model.unknown", "status": "success"}, {"status": "pass"}, None]})
+    twice = json.dumps({"results": [{"unique_id": "model.a", "status": "error"}, {"unique_id": "model.a", "status": "success"}, {"unique_id": "test.b", "status": "pass"}]})
+    manifest = json.dumps({"nodes": {"model.a": {"resource_type": "model"}, "test.b": {"resource_type": "test", "attached_node": "model.a"}},
+                           "sources": {"source.c": {"resource_type": "snapshot"}, "model.a": {"resource_type": "seed"}}})
+    rows = [(1, results, manifest), (2, twice, manifest), (3, results, "{}"), (4, "no json", manifest), (5, results, None), (6, None, manifest), (7, '{"results": []}', manifest)]
+    pairs = small_frame(spark, rows, "id bigint, run_results string, manifest string")
+    want = B.joined_results(pairs, "id", "2024-01-31 00:00:00").where("node is not null")
+    columns = ("id", "invocation_id", "at", "unique_id", "status", "execution_time", "message", "node")
+    got = values(B.matched_results(pairs, "id", "2024-01-31 00:00:00"), *columns)
+    assert got == values(want, *columns) and len(got) == 6
+
+
+def test_paired_artifacts_are_done_with_and_the_rest_waits(spark):
+    pairs = artifacts(spark, SF).withColumn("made_at", F.col("ts")).where("event_id < 60")
+    results = [pairs.select("event_id", "made_at", "run_results").where(f"event_id % 3 = {k}") for k in (0, 1, 2)]
+    manifests = [pairs.select("event_id", "made_at", "manifest").where(f"event_id % 3 = {k} AND event_id <> 4") for k in (2, 0, 1)]
+    path = folder()
+    ST.artifacts_per_batch(in_turn(spark, results), in_turn(spark, manifests), "event_id", "2024-01-31 00:00:00", "made_at", path, wait="40 days").awaitTermination()
+    want = B.joined_results(pairs.where("event_id <> 4"), "event_id", "2024-01-31 00:00:00").where("node is not null")
+    assert values(spark.read.parquet(f"{path}/rows"), "event_id", "unique_id", "status", "at") == values(want, "event_id", "unique_id", "status", "at")
+    kept = spark.read.parquet(f"{path}/met").groupBy("batch", F.col("paired").cast("string").alias("paired")).count()
+    assert values(kept, "batch", "paired", "count") == [(0, "false", 40), (1, "false", 40), (1, "true", 20), (2, "false", 1), (2, "true", 39)]
+
+
+def test_artifacts_without_their_other_half_are_given_up(spark):
+    def documents(column, parts):
+        return in_turn(spark, [small_frame(spark, [(i, f"2024-01-{day:02d} 00:00:00", "{}") for i, day in part], f"id bigint, x string, {column} string")
+                               .select("id", F.col("x").cast("timestamp_ntz").alias("made_at"), column) for part in parts])
+
+    path = folder()
+    results = documents("run_results", [[(1, 1), (2, 1), (9, 1)], [(3, 6), (4, 20)], [(5, 20)]])
+    manifests = documents("manifest", [[(7, 2), (9, 4)], [(2, 2), (8, 6)], [(1, 2)]])
+    ST.artifacts_per_batch(results, manifests, "id", "2024-01-31 00:00:00", "made_at", path, wait="2 days").awaitTermination()
+    met = spark.read.parquet(f"{path}/met")
+    # 9 is made too far apart; after the second batch both streams have come to the 6th, so what is older than the 2nd goes
+    assert values(met.where("batch = 1 AND paired"), "id") == [(2,)] and not met.where("batch = 2 AND paired").count()
+    assert values(met.where("batch = 2"), "id") == [(1,), (3,), (4,), (5,), (7,), (8,), (9,)]
+
+
+def test_a_micro_batch_is_a_number_of_files(spark):
+    rows = spark.range(40).repartition(3).withColumn("batch", F.when(F.col("id") < 1, 0).when(F.col("id") < 30, 2).otherwise(3))
+    path = folder()
+    stream = in_batches(rows, spark, "numbers", 4, files=3)
+    ST.newest_per_batch(stream.withColumn("k", F.lit("k")), "k", "id", path).awaitTermination()
+    assert values(spark.read.parquet(f"{path}/rows"), "batch", "rows") == [(0, 1), (2, 29), (3, 10)]
